@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pool"]
+MODULES = ["pool", "entities", "stories"]
 
 
 def all_queries() -> dict:

@@ -1,0 +1,147 @@
+"""Greedy merge of the groups of one small component.
+
+The texts, normal forms and dates arrive ready-made; this holds only the order-dependent
+choice of pairs.
+"""
+
+from __future__ import annotations
+
+import heapq
+import math
+
+import pandas as pd
+
+MAX_ARTICLES, MAX_KEYWORDS, MAX_ENTITIES, MIN_COHESION = 10, 6, 5, 20
+RECENT_MICROS = 7 * 86400 * 1_000_000
+
+
+def _terms(g: dict) -> set[str]:
+    names = {e["low"] for e in g["ents"]}
+    phrases = {k["phrase"] for k in g["kw"]} | set(g["topic_terms"])
+    phrases = {p for p in phrases if len(p) >= 3 and p not in names}
+    words = {w for p in phrases for w in p.split(" ") if len(w) >= 5}
+    if len(g["facts"]) != len(g["article_ids"]):
+        return set()
+
+    def supported(term: str) -> bool:
+        return term not in g["series"] and all(
+            not (m["source"] and term in m["source"])
+            and (term in m["story"] or all(w in m["story"] for w in term.split(" ")))
+            for m in g["facts"]
+        )
+
+    return {t for t in phrases | words if supported(t)}
+
+
+def _related(a: str, b: str) -> bool:
+    return a == b or (min(len(a), len(b)) >= 5 and (a in b or b in a))
+
+
+def _finish(g: dict) -> dict:
+    g["terms"] = _terms(g)
+    g["keys"] = {e["low"] for e in g["ents"] if e["low"]}
+    g["dates"] = {m["date"] for m in g["facts"] if m["date"]}
+    times = [m["at"] for m in g["facts"] if m["at"] is not None and not pd.isna(m["at"])]
+    g["latest"] = max(times) if times else None
+    return g
+
+
+def _score(a: dict, b: dict) -> int | None:
+    if len(a["dates"] | b["dates"]) > 1:
+        return None
+    entities = len(a["keys"] & b["keys"])
+    if any(" " in t for t in a["terms"] & b["terms"]):
+        story = 2
+    else:
+        story = int(any(_related(x, y) for x in a["terms"] for y in b["terms"]))
+    near = (
+        a["latest"] is not None and b["latest"] is not None
+        and abs(a["latest"] - b["latest"]) <= RECENT_MICROS
+    )
+    if (entities and story) or (not entities and story == 2 and near):
+        return 2 * entities + story
+    return None
+
+
+def _cohesion(ids: list, ents: list, facts: list) -> int:
+    if len(ids) < 2 or not ents:
+        return 0
+    hits = sum(e["norm"] in m["text"] for e in ents for m in facts)
+    score = hits / (len(ids) * len(ents)) * 80 + min(len(ids), 5) * 4
+    if all(e["cat"] for e in ents):
+        score -= 45
+    return max(0, min(100, math.floor(score + 0.5)))
+
+
+def _merge(a: dict, b: dict) -> dict:
+    ids = list(dict.fromkeys(a["article_ids"] + b["article_ids"]))
+    if len(ids) > MAX_ARTICLES:
+        best = {}
+        for g in (a, b):
+            for i in g["article_ids"]:
+                best[i] = max(best.get(i, g["cohesion"]), g["cohesion"])
+        ids = sorted(ids, key=lambda i: -best[i])[:MAX_ARTICLES]
+    words: dict[str, dict] = {}
+    for k in a["kw"] + b["kw"]:
+        if k["k"]:
+            words.setdefault(k["low"], k)
+    larger = b if len(b["article_ids"]) > len(a["article_ids"]) else a
+    right = {e["low"] for e in b["ents"]}
+    by_id = {m["id"]: m for m in b["facts"] + a["facts"]}
+    out = {
+        "parts": a["parts"] + b["parts"], "topic": larger["topic"], "reason": larger["reason"],
+        "topic_terms": larger["topic_terms"], "kw": list(words.values())[:MAX_KEYWORDS],
+        "ents": [e for e in a["ents"] if e["low"] in right][:MAX_ENTITIES],
+        "article_ids": ids, "facts": [by_id[i] for i in ids if i in by_id],
+        "series": a["series"] | b["series"],
+    }
+    out["cohesion"] = _cohesion(ids, out["ents"], out["facts"])
+    if any(_related(x, y) for x in a["terms"] for y in b["terms"]):
+        out["cohesion"] = max(out["cohesion"], min(100, 80 + 4 * min(len(ids), 5)))
+    return out
+
+
+def merge_groups_in_order(groups: list[dict]) -> list[dict]:
+    """Merge the best acceptable pair again and again; new groups go to the end."""
+    live = dict(enumerate(_finish(g) for g in groups))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int, j: int) -> None:
+        s = _score(live[i], live[j])
+        if s is not None and _merge(live[i], live[j])["cohesion"] >= MIN_COHESION:
+            heapq.heappush(heap, (-s, i, j))
+
+    for j in live:
+        for i in range(j):
+            offer(i, j)
+    new = len(groups)
+    while heap:
+        _, i, j = heapq.heappop(heap)
+        if i not in live or j not in live:
+            continue
+        made = _finish(_merge(live.pop(i), live.pop(j)))
+        live[new] = made
+        for k in list(live):
+            if k != new:
+                offer(k, new)
+        new += 1
+    return list(live.values())
+
+
+def merge_component(pdf: pd.DataFrame) -> pd.DataFrame:
+    groups = [
+        {
+            "parts": [r.group_id], "topic": r.topic, "reason": r.reason, "article_ids": list(r.article_ids),
+            "cohesion": int(r.cohesion_score), "kw": list(r.kw), "ents": list(r.ents), "series": set(r.series),
+            "topic_terms": list(r.topic_terms), "facts": list(r.facts),
+        }
+        for r in pdf.sort_values("pos").itertuples()
+    ]
+    rows = [
+        (g["parts"], g["topic"], g["reason"], [k["k"] for k in g["kw"]], g["article_ids"], [e["e"] for e in g["ents"]], g["cohesion"])
+        for g in merge_groups_in_order(groups)
+    ]
+    return pd.DataFrame(
+        rows,
+        columns=["parts", "topic", "reason", "keywords", "article_ids", "common_entities", "cohesion_score"],
+    )

@@ -27,6 +27,17 @@ def at(seconds: Column) -> Column:
     return F.timestamp_seconds(F.lit(T0) + seconds)
 
 
+SUFFIXES = [" techno night", " synth album", " hip-hop DJ", " e-bike synth review", " DJ set"]
+
+
+def title_suffix(d: Column) -> Column:
+    """Field words on five of thirteen titles, so that the topic rules have something to find."""
+    out = F.lit("")
+    for i, s in enumerate(SUFFIXES):
+        out = F.when(d % 13 == i, s).otherwise(out)
+    return out
+
+
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw article per document."""
     d = F.col("doc_id")
@@ -45,7 +56,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "documents").select(
         padded(d).alias("id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"),
+        F.concat(F.substring(F.substring_index("text", "\n", 1), 1, 120), title_suffix(d)).alias("title"),
         F.col("text").alias("content"),
         F.concat(
             F.lit("https://"), "source", F.lit(".example.com/news/"), d.cast("string"),
@@ -78,7 +89,9 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_ARTICLES_SQL = """
 ra AS (
   SELECT lpad(d::VARCHAR, 12, '0') AS id,
-    substr(split_part(text, chr(10), 1), 1, 120) AS title, text AS content,
+    substr(split_part(text, chr(10), 1), 1, 120) || CASE d % 13 WHEN 0 THEN ' techno night'
+      WHEN 1 THEN ' synth album' WHEN 2 THEN ' hip-hop DJ' WHEN 3 THEN ' e-bike synth review'
+      WHEN 4 THEN ' DJ set' ELSE '' END AS title, text AS content,
     'https://' || source || '.example.com/news/' || d
       || CASE WHEN d % 5 = 0 THEN '?utm_source=feed' ELSE '' END AS url,
     CASE WHEN d % 3 = 0 THEN 'https://img.example.com/' || d || '.jpg'
@@ -231,11 +244,11 @@ proposals AS (
     id AS cluster_id, make_timestamp((1704067200 + substr(id, 2)::BIGINT * 300) * 1000000) AS created_at
   FROM (
     SELECT *, list_transform(list_filter(
-        list_transform(w, (x, i) -> CASE WHEN list_position(w, x) = i THEN x END),
-        x -> x IS NOT NULL), x -> x)[1:6] AS list_distinct_ordered
+        list_transform(w, lambda x, i: CASE WHEN list_position(w, x) = i THEN x END),
+        lambda x: x IS NOT NULL), lambda x: x)[1:6] AS list_distinct_ordered
     FROM (
       SELECT {CLUSTER_OF_SQL} AS id, arg_min(title, ra.id) AS topic, list(ra.id ORDER BY ra.id) AS article_ids,
-        list_filter(string_split_regex(lower(arg_min(title, ra.id)), '[^a-z0-9]+'), x -> length(x) >= 4) AS w
+        list_filter(string_split_regex(lower(arg_min(title, ra.id)), '[^a-z0-9]+'), lambda x: length(x) >= 4) AS w
       FROM ra GROUP BY 1
     )
   )
@@ -298,7 +311,7 @@ hay AS (
 ),
 hay_words AS (
   SELECT DISTINCT id, unnest(list_concat(
-    list_filter(regexp_extract_all(hay, '[a-z0-9]+'), x -> length(x) >= 9),
+    list_filter(regexp_extract_all(hay, '[a-z0-9]+'), lambda x: length(x) >= 9),
     regexp_extract_all(hay, '[a-z0-9]{5,} [a-z0-9]{5,}'))) AS canonical FROM hay
 ),
 dict AS (
@@ -363,3 +376,44 @@ page_views AS (
       || CASE WHEN event_id % 2 = 0 THEN '/' ELSE '' END END AS path, ts
   FROM events
 )"""
+
+
+def model_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One single-article proposal per raw article, as a model would return them.
+
+    Keywords are the longer title words and the quoted title; a run is a hundred articles.
+    """
+    words = F.filter(F.split("title", "[^A-Za-z0-9]+"), lambda w: F.length(w) >= 5)
+    return raw_articles(spark, sf_dir).select(
+        F.concat(F.lit("r"), padded(F.floor(F.col("doc_id") / 100).cast("long"))).alias("run_id"),
+        F.concat(F.lit("p"), "id").alias("group_id"),
+        F.col("doc_id").alias("pos"),
+        F.concat(F.lit("Story '"), F.substring("title", 1, 40), F.lit("'")).alias("topic"),
+        F.slice(words, 1, 6).alias("keywords"),
+        F.array("id").alias("article_ids"),
+        F.lit("same story").alias("reason"),
+        F.slice(words, 1, 2).alias("common_entities"),
+        F.lit(None).cast("double").alias("cohesion_score"),
+    )
+
+
+def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers as text: JSON with the proposals of one run and source.
+
+    Every third answer has words around the JSON, every seventeenth is cut short.
+    """
+    ra = raw_articles(spark, sf_dir)
+    batch = F.floor(F.col("doc_id") / 20).cast("long")
+    one = F.struct(
+        F.col("title").alias("topic"),
+        F.array(F.col("source_name")).alias("keywords"),
+        F.array("id").alias("articleIds"),
+        F.lit("r").alias("reason"),
+        F.array(F.lit("X")).alias("commonEntities"),
+    )
+    rows = ra.groupBy(batch.alias("b")).agg(F.array_sort(F.collect_list(F.struct("id", one.alias("p")))).alias("l"))
+    body = F.to_json(F.struct(F.transform("l", lambda x: x["p"]).alias("suggestions")))
+    text = F.when(F.col("b") % 17 == 16, F.substring(body, 1, 80)).when(
+        F.col("b") % 3 == 0, F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone."))
+    ).otherwise(body)
+    return rows.select(padded(F.col("b")).alias("output_id"), text.alias("response"))
