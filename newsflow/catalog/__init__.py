@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pool", "entities", "stories"]
+MODULES = ["pool", "entities", "stories", "serving", "lifecycle"]
 
 
 def all_queries() -> dict:

@@ -191,8 +191,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         cluster_of(d).alias("cluster_id"),
         F.when(d % 4 == 1, F.concat(F.lit("https://own.example.com/"), d.cast("string"), F.lit(".png")))
         .alias("image_url"),
-        (d % 2 == 0).alias("published"),
-        F.when(d % 2 == 0, F.col("published_at")).alias("published_at"),
+        (d % 3 != 0).alias("published"),
+        F.when(d % 3 != 0, F.col("published_at")).alias("published_at"),
         F.col("fetched_at").alias("created_at"),
         F.when(d % 3 != 0, F.timestamp_seconds(F.unix_timestamp("fetched_at") + 3600)).alias("updated_at"),
         cat.alias("category"),
@@ -207,8 +207,8 @@ articles AS (
     CASE WHEN doc_id % 11 <> 0 THEN source_name || '-' || doc_id END AS slug, title, content,
     {CLUSTER_OF_SQL} AS cluster_id,
     CASE WHEN doc_id % 4 = 1 THEN 'https://own.example.com/' || doc_id || '.png' END AS image_url,
-    doc_id % 2 = 0 AS published,
-    CASE WHEN doc_id % 2 = 0 THEN published_at END AS published_at, fetched_at AS created_at,
+    doc_id % 3 <> 0 AS published,
+    CASE WHEN doc_id % 3 <> 0 THEN published_at END AS published_at, fetched_at AS created_at,
     CASE WHEN doc_id % 3 <> 0 THEN fetched_at + INTERVAL 1 HOUR END AS updated_at,
     ['News', 'Releases', 'Interviews', 'Features'][doc_id % 4 + 1] AS category,
     CASE WHEN doc_id % 4 = 1 THEN ['House', 'Techno', 'Trance'][doc_id % 3 + 1] END AS genre, doc_id
