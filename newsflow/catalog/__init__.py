@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pool", "entities", "stories", "serving", "lifecycle"]
+MODULES = ["pool", "entities", "stories", "serving", "lifecycle", "audit"]
 
 
 def all_queries() -> dict:

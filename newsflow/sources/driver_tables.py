@@ -330,7 +330,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(e / 500) % 3 + 1).cast("int"),
     )
     return table(spark, sf_dir, "events").select(
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("run-"), padded(F.floor(e / 500).cast("long"))).alias("run_id"),
         pipeline.alias("pipeline"),
         F.col("event_type").alias("stage"),
@@ -367,7 +367,7 @@ def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/articles/src"), (u % 20).cast("string"), F.lit("-"), u.cast("string"),
                  F.when(F.col("event_id") % 2 == 0, "/").otherwise(""))
     )
-    return table(spark, sf_dir, "events").select(path.alias("path"), "ts")
+    return table(spark, sf_dir, "events").select(path.alias("path"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 PAGE_VIEWS_SQL = """
