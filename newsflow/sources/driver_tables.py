@@ -417,3 +417,75 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("b") % 3 == 0, F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone."))
     ).otherwise(body)
     return rows.select(padded(F.col("b")).alias("output_id"), text.alias("response"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").withColumn("page_id", F.col("page_id").cast("string"))
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per document with meta tags, linked data, images and times around its text."""
+    d = F.col("doc_id")
+    n = d.cast("string")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (d % 45).cast("int")).cast("string")
+    title = F.regexp_replace(F.substring(F.substring_index("text", "\n", 1), 1, 80), "[<>&\"]", " ")
+    html = F.concat(
+        F.lit("<html><head>"),
+        F.when(d % 3 == 0, F.concat(F.lit('<meta property="og:title" content="Cover '), title, F.lit('">'))).otherwise(""),
+        F.when(d % 4 == 0, F.concat(F.lit('<meta property="og:image" content="/media/'), n, F.lit('.jpg">'))).otherwise(""),
+        F.when(d % 6 == 1, F.concat(F.lit('<meta name="date" content="'), day, F.lit('T08:00:00Z">'))).otherwise(""),
+        F.when(
+            d % 5 == 0,
+            F.concat(
+                F.lit('<script type="application/ld+json">{"@type":"Event","url":"https://x.example.com/e","startDate":"'), day,
+                F.lit('T20:00","image":"https://ld.example.com/'), n, F.lit('.jpg","datePublished":"'), day, F.lit(' 09:00:00"}</script>'),
+            ),
+        ).otherwise(""),
+        F.lit("</head><body><h1>"), title, F.lit('</h1><time class="published" datetime="'), day, F.lit('T10:00:00+09:00"></time>'),
+        F.lit('<img src="/logo.png"><img src="/a-300x250.jpg"><img srcset="/b.jpg 640w, /c.jpg 1280w" src="/b.jpg"><img src="/t.jpg" width="50" height="50">'),
+        F.when(d % 7 == 0, F.lit('<iframe src="https://www.youtube.com/embed/abc123"></iframe>')).otherwise(""),
+        F.lit("<article><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p><p>Show on "), day, F.lit("</p></article></body></html>"),
+    )
+    return table(spark, sf_dir, "documents").select(
+        padded(d).alias("page_id"),
+        F.concat(F.lit("https://"), "source", F.lit(".example.com/event/"),
+                 F.when(d % 2 == 0, F.concat(F.replace(day, F.lit("-"), F.lit("/")), F.lit("/"))).otherwise(""), n).alias("url"),
+        html.alias("html"),
+    )
+
+
+def harvest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing page per cluster with one headed block per member article."""
+    ra = raw_articles(spark, sf_dir)
+    block = F.concat(F.lit("## "), "title", F.lit("\nDJ set from 22:00, tickets at the door, Hall "), "source_name", F.lit("\n"), F.substring("content", 1, 2000))
+    return ra.groupBy(cluster_of(F.col("doc_id")).alias("page_id")).agg(
+        F.array_sort(F.collect_list(F.struct("id", block.alias("b")))).alias("l"), F.min("source_name").alias("source"), F.min("url").alias("page_url"),
+    ).select("page_id", "source", "page_url", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("markdown"))
+
+
+def harvest_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers about the listing pages, some inside thinking blocks or fences, some broken."""
+    ra = raw_articles(spark, sf_dir)
+    d = F.col("doc_id")
+    item = F.struct(
+        F.when(d % 13 == 12, "").otherwise(F.col("title")).alias("headline_en"), F.lit("A summary").alias("summary_en"),
+        F.array("source_name").alias("entities_en"),
+        F.when(d % 3 == 0, "club_event").otherwise("release").alias("news_type"),
+        F.col("event_date").cast("string").alias("event_date"), F.lit("preview").alias("doc_type"),
+        F.struct(F.when(d % 3 == 0, F.concat(F.lit("Hall "), "source_name")).otherwise("TBA").alias("venue"),
+                 F.when(d % 2 == 0, "/tickets").alias("ticket_url")).alias("facts"),
+        F.array("image_url").alias("image_urls"), F.lit("en").alias("source_lang"), F.lit(0.8).alias("confidence"),
+        F.struct(
+            F.array(F.lit("DJ set from 22:00")).alias("dance_centrality"), F.array(F.lit("from 22:00")).alias("program_independence"),
+            F.when(d % 2 == 0, F.array(F.lit("tickets at the door"))).otherwise(F.array(F.lit("no such quote here"))).alias("public_access"),
+            F.when(d % 11 == 0, F.array(F.lit("Hall src"))).otherwise(F.array().cast("array<string>")).alias("private_or_restricted"),
+        ).alias("experience_evidence"),
+    )
+    rows = ra.groupBy(cluster_of(d).alias("page_id")).agg(
+        F.array_sort(F.collect_list(F.struct("id", item.alias("i")))).alias("l"), F.min("url").alias("base_url"), F.min("doc_id").alias("n")
+    )
+    body = F.to_json(F.transform("l", lambda x: x["i"]))
+    text = F.when(F.col("n") % 17 == 0, F.substring(body, 1, 60)).when(
+        F.col("n") % 3 == 0, F.concat(F.lit("<think>[not this]</think>```json\n"), body, F.lit("\n```"))
+    ).otherwise(body)
+    return rows.select("page_id", "base_url", text.alias("response"))
