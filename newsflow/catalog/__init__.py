@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pool", "entities", "stories", "ingest", "serving", "lifecycle", "audit"]
+MODULES = ["pool", "entities", "stories", "ingest", "serving", "lifecycle", "audit", "streaming", "plans"]
 
 
 def all_queries() -> dict:

@@ -406,7 +406,7 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = F.floor(F.col("doc_id") / 20).cast("long")
     one = F.struct(
         F.col("title").alias("topic"),
-        F.array(F.col("source_name")).alias("keywords"),
+        F.slice(F.filter(F.split("title", "[^A-Za-z0-9]+"), lambda w: F.length(w) >= 5), 1, 6).alias("keywords"),
         F.array("id").alias("articleIds"),
         F.lit("r").alias("reason"),
         F.array(F.lit("X")).alias("commonEntities"),
