@@ -42,16 +42,17 @@ def main() -> None:
     chosen = os.environ.get("BENCH_QUERIES")
     names = list(queries) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
     queries["pool_legacy"](spark, sf_dir).count()  # start the session's threads
-    times, rows = {}, {}
+    times = {}
     for name in names:
         start = time.perf_counter()
         df = queries[name](spark, sf_dir)
-        rows[name] = len(df.collect()) if name.startswith("pool") else df.count()
+        # every column of every row is computed and thrown away; a count would prune most of it
+        df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
-        print(name, times[name], rows[name], file=sys.stderr)
+        print(name, times[name], file=sys.stderr)
     print(json.dumps({
         "metric": "headline_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "rows": rows, "sf": os.path.basename(sf_dir.rstrip("/")),
+        "sf": os.path.basename(sf_dir.rstrip("/")),
     }))
 
 

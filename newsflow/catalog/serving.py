@@ -12,7 +12,6 @@ from newsflow.sources import driver_tables as dt
 from newsflow.sources import event_log, feeds
 
 SITE = "https://site.example.com"
-AS_OF = F.lit("2024-01-20 00:00:00")
 
 
 def as_of():

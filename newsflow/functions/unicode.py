@@ -9,6 +9,7 @@ from datetime import date
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsflow.functions.dates import MONTHS
 
@@ -85,31 +86,31 @@ def identity(text: str | None) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in norm).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_text(s: pd.Series) -> pd.Series:
     return s.map(fold)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def fold_all(s: pd.Series) -> pd.Series:
     return s.map(lambda a: [fold(x) for x in (a if a is not None else [])])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def date_candidates(s: pd.Series) -> pd.Series:
     return s.map(explicit_dates)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_array(s: pd.Series) -> pd.Series:
     return s.map(first_json_array)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def identity_text(s: pd.Series) -> pd.Series:
     return s.map(identity)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_lower(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t or "").lower())

@@ -38,6 +38,9 @@ UNMATCHED_RATIO = 0.6
 BATCH = 20
 # --- end of fixed values ---
 
+# a surface row is a few hundred bytes, so this bounds the broadcast to tens of megabytes
+BROADCAST_ROWS = 100_000
+
 _PLAIN_GAP = rf"[{SP},.:;()'\"\[\]\-–—]"
 _THE = r"(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])"
 
@@ -77,10 +80,13 @@ def _bounded(pattern: Column) -> Column:
 
 
 def surface_found(hay: Column, surface: Column, key: Column) -> Column:
-    """Surface present between ASCII boundaries; a one-word surface is its own proof."""
+    """Surface present between ASCII boundaries; a one-word surface is its own proof.
+
+    The plain substring test comes first: it settles most candidates without a regex.
+    """
     return (F.length(surface) >= 2) & (
         ((surface == key) & surface.rlike("^[a-z0-9]+$"))
-        | F.regexp(hay, _bounded(regex_quote(surface)))
+        | (F.contains(hay, surface) & F.regexp(hay, _bounded(regex_quote(surface))))
     )
 
 
@@ -94,23 +100,35 @@ def context_found(
     """
     s = _bounded(regex_quote(surface))
 
-    def near(left: Column, right: Column) -> Column:
+    def near(word: Column, left: Column, right: Column) -> Column:
         reach = F.concat(
             F.lit("(?s)"), left, F.lit("(?=.{0,"), max_gap.cast("string"), F.lit("}"), right,
             F.lit(f")(?:{_PLAIN_GAP}|{_THE})*?"), right,
         )
-        return F.regexp(hay, reach)
+        return F.contains(hay, word) & F.regexp(hay, reach)
 
-    return F.exists(before, lambda c: near(_bounded(regex_quote(c)), s)) | F.exists(
-        after, lambda c: near(s, _bounded(regex_quote(c)))
+    return F.contains(hay, surface) & (
+        F.exists(before, lambda c: near(c, _bounded(regex_quote(c)), s))
+        | F.exists(after, lambda c: near(c, s, _bounded(regex_quote(c))))
     )
 
 
 def _candidates(hay: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """Rows of ``hay`` (id, hay) with every surface whose key occurs in it."""
-    keys = hay.select("id", "hay", F.explode(hay_keys(F.col("hay"))).alias("block_key"))
-    # a common word can be in a third of all articles, so its key is spread by article
-    return salted_join(keys, surfaces, ["block_key"], ["id"])
+    """Rows of ``hay`` (id, hay) with every surface whose key occurs in it.
+
+    The dictionary is counted first.  Up to ``BROADCAST_ROWS`` surfaces are broadcast and
+    the articles are never shuffled; a larger dictionary is joined by key, with common
+    words spread over tasks by article.
+    """
+    size = surfaces.agg(
+        F.count("*").alias("n"), F.count_if(~F.col("block_key").rlike("^[a-z0-9]+$")).alias("wordless")
+    ).first()
+    all_keys = hay_keys(F.col("hay")) if size["wordless"] else F.array_distinct(ascii_runs(F.col("hay")))
+    keys = hay.select("id", "hay", F.explode(all_keys).alias("block_key"))
+    if size["n"] <= BROADCAST_ROWS:
+        return keys.join(F.broadcast(surfaces), "block_key")
+    # the exploded words must not be taken for a small side, so the join is a merge
+    return salted_join(keys.hint("merge"), surfaces, ["block_key"], ["id"])
 
 
 def match_strong(hay: DataFrame, surfaces: DataFrame) -> DataFrame:

@@ -9,14 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsflow.functions.lineage import cut
+
 T0 = 1704067200  # 2024-01-01 00:00:00 UTC
 ID_WIDTH = 12
 CATEGORIES = ["News", "Releases", "Interviews", "Features"]
 GENRES = ["House", "Techno", "Trance"]
 
 
+ROW_KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table, spread over the cores when it has fewer splits than there are cores.
+
+    A table of many splits is read as it is, so large inputs are never shuffled here.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ROW_KEYS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, ROW_KEYS[name])
+    return df
 
 
 def padded(n: Column) -> Column:
@@ -272,7 +285,18 @@ labels_v AS (
 )"""
 
 
+_DICTIONARIES: dict[tuple[str, str], DataFrame] = {}
+
+
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface table of a data folder, derived once per session and kept on disk."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DICTIONARIES:
+        _DICTIONARIES[key] = cut(_derive_dictionary(spark, sf_dir))
+    return _DICTIONARIES[key]
+
+
+def _derive_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface table derived from the articles' own words.
 
     Long words and word pairs that two to four articles use become entities; the word
