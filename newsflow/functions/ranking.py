@@ -51,18 +51,18 @@ def lower_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions:
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_off", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
     wanted = F.array(*[
-        F.struct(F.lit(f).alias("f"), (F.floor((F.col("_n") - 1) * f) + 1).alias("k")) for f in fractions
+        F.struct(F.lit(f).alias("_f"), (F.floor((F.col("_n") - 1) * f) + 1).alias("_k")) for f in fractions
     ])
-    targets = sums.select(*keys, "_b", "_off", "_bc", F.explode(wanted).alias("w")).where(
-        (F.col("w.k") > F.col("_off")) & (F.col("w.k") <= F.col("_off") + F.col("_bc"))
-    ).select(*keys, "_b", "_off", "w.f", "w.k")
+    targets = sums.select(*keys, "_b", "_off", "_bc", F.explode(wanted).alias("_w")).where(
+        (F.col("_w._k") > F.col("_off")) & (F.col("_w._k") <= F.col("_off") + F.col("_bc"))
+    ).select(*keys, "_b", "_off", "_w._f", "_w._k")
     near = bucketed.select(*keys, "_b", "_v", "_c").join(targets, [*keys, "_b"])
-    upto = Window.partitionBy(*keys, "f").orderBy("_v")
+    upto = Window.partitionBy(*keys, "_f").orderBy("_v")
     hit = near.withColumn("_cum", F.col("_off") + F.sum("_c").over(upto)).where(
-        (F.col("_cum") >= F.col("k")) & (F.col("_cum") - F.col("_c") < F.col("k"))
+        (F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_c") < F.col("_k"))
     )
     return hit.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("f") == f, F.col("_v"))).alias(f"p{round(f * 100)}") for f in fractions]
+        *[F.max(F.when(F.col("_f") == f, F.col("_v"))).alias(f"p{round(f * 100)}") for f in fractions]
     )
 
 
