@@ -57,7 +57,7 @@ def loop_round_robin(rows):
     return out
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(hs.integers(0, 10**6))
 def test_round_robin_equals_the_loop(spark, seed):
     rnd = random.Random(seed)
@@ -72,7 +72,7 @@ def test_round_robin_equals_the_loop(spark, seed):
 
 def test_weighted_round_robin_equals_the_loop(spark):
     rnd = random.Random(3)
-    for _ in range(4):
+    for _ in range(2):
         queues = [(w, [f"q{k}-{i}" for i in range(rnd.randint(0, 9))]) for k, w in enumerate([4, 3, 1, 2])]
         rows = [(name, k, i + 1, w) for k, (w, names) in enumerate(queues) for i, name in enumerate(names)]
         df = spark.createDataFrame(rows, "id string, queue int, rn int, weight int")
