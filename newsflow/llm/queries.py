@@ -5,8 +5,14 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op1_sharding": "op1_sharding",
     "op3_decontamination": "op3_decontamination",
+    "op4_toxicity": "op4_toxicity",
+    "op5_chat": "op5_chat",
     "op7_quality_rules": "op7_quality",
+    "op8_language": "op8_language",
+    "op9_packing": "op9_packing",
+    "op10_html": "op10_html",
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"newsflow.llm.{m}"), name) for name, m in MODULES.items()}
