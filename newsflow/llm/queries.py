@@ -6,9 +6,11 @@ import importlib
 
 MODULES = {
     "op1_sharding": "op1_sharding",
+    "op2_substring_dedup": "op2_substring",
     "op3_decontamination": "op3_decontamination",
     "op4_toxicity": "op4_toxicity",
     "op5_chat": "op5_chat",
+    "op6_near_dedup": "op6_neardup",
     "op7_quality_rules": "op7_quality",
     "op8_language": "op8_language",
     "op9_packing": "op9_packing",
