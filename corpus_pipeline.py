@@ -7,9 +7,8 @@ written as Parquet and read again as the next one's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from newsflow.llm import op3_decontamination, op7_quality
+from newsflow.llm import op2_substring, op3_decontamination, op6_neardup, op7_quality, op9_packing
 from newsflow.llm.tables import read, stored
 
 
@@ -18,14 +17,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return op7_quality.keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return op6_neardup.keep_first(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences of repeated passages go from all but their first document; documents stay."""
+    return op2_substring.remove_repeats(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold enough of a test item go."""
     return op3_decontamination.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return op9_packing.packed(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
     ("benchmark decontamination", benchmark_decontamination),
+    ("packing", packing),
 ]
 
 #: SQL has no n-gram model, sketches or tokenizer: the stages are tested against brute force.
