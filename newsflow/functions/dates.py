@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsflow.functions.text import or_empty, rx, squash, strip
+from newsflow.functions.text import or_empty, rx, rxu, squash, strip
+from newsflow.functions.unicode import nfkc
 
 # --- fixed values: month names, zone words, listing date patterns in their order ---
 MONTHS = [
@@ -27,6 +30,32 @@ LISTING_PATTERNS = [
 ]
 ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?\s*(Z|z|[+-]\d{2}:?\d{2}|GMT|UTC|BST)?)?$"
 RFC = r"(?i)^(?:[a-z]{3,9},?\s+)?(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{4})(?:\s+(\d{2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4}|[a-z]{1,3})?)?$"
+RANGE_FORMS = [
+    r"(?P<year>20\d{2})\s*[年년]\s*(?P<month>\d{1,2})\s*[月월]\s*"
+    r"(?P<day>\d{1,2})\s*[日일]?\s*(?:[-–—~〜～]|부터|から)\s*"
+    r"(?:20\d{2}\s*[年년]\s*)?\d{1,2}\s*[月월]\s*\d{1,2}\s*[日일]?",
+    r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
+    r"(?P<month_name>[A-Za-z]{3,9})\.?\s+(?P<day>\d{1,2})(?:st|nd|rd|th)?"
+    r"(?:,?\s+(?P<year>20\d{2}))?\s*[-–—~]\s*"
+    r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
+    r"[A-Za-z]{3,9}\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s+(?P<end_year>20\d{2})",
+    r"(?P<day>\d{1,2})(?:st|nd|rd|th)?\s+"
+    r"(?P<month_name>[A-Za-z]{3,9})\.?\s*(?P<year>20\d{2})?\s*[-–—~]\s*"
+    r"\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]{3,9}\.?\s+(?P<end_year>20\d{2})",
+]
+DATE_FORMS = [
+    r"(?<!\d)(?P<year>20\d{2})\s*[年년]\s*(?P<month>\d{1,2})\s*[月월]\s*(?P<day>\d{1,2})\s*[日일]?",
+    r"(?<!\d)(?P<year>20\d{2})\s*[/.-]\s*(?P<month>\d{1,2})\s*[/.-]\s*(?P<day>\d{1,2})(?!\d)",
+    r"(?:[月火水木金土日]\s*)?(?P<day>\d{1,2})\s+(?P<month>\d{1,2})\s*月\s+(?P<year>20\d{2})",
+    r"(?P<day>\d{1,2})(?:st|nd|rd|th)?\s+(?P<month_name>[A-Za-z]{3,9})\.?\s+(?P<year>20\d{2})",
+    r"(?P<month_name>[A-Za-z]{3,9})\.?\s+(?P<day>\d{1,2})(?:st|nd|rd|th)?,?\s+(?P<year>20\d{2})",
+]
+MONTH_DAY_FORMS = [
+    r"(?<!\d)0?{month}\s*[-/.]\s*0?{day}(?!\d)",
+    r"(?<!\d)0?{month}\s*[月월]\s*0?{day}\s*[日일]?",
+    r"(?:{month_name}|{short_name})\.?\s+{day}(?:st|nd|rd|th)?\b",
+    r"(?<!\d){day}(?:st|nd|rd|th)?\s+(?:{month_name}|{short_name})\b",
+]
 # --- end of fixed values ---
 
 
@@ -112,25 +141,56 @@ def listing_date(col: Column, today: Column) -> Column:
 
 def has_month_day(text: Column, day: Column) -> Column:
     """True when the (normalised, lower-case) text states the month and day of ``day``."""
-    m, d = F.month(day).cast("string"), F.dayofmonth(day).cast("string")
     full = F.element_at(F.array(*[F.lit(x) for x in MONTHS]), F.month(day))
-    names = F.concat(F.lit("(?:"), full, F.lit("|"), F.substring(full, 1, 3), F.lit(")"))
-    sp = rx(r"\s")
-    patterns = [
-        F.concat(F.lit(r"(?<!\d)0?"), m, F.lit(f"{sp}*[-/.]{sp}*0?"), d, F.lit(r"(?!\d)")),
-        F.concat(F.lit(r"(?<!\d)0?"), m, F.lit(f"{sp}*[月월]{sp}*0?"), d),
-        F.concat(names, F.lit(rf"\.?{sp}+"), d, F.lit(r"(?:st|nd|rd|th)?(?![A-Za-z0-9_])")),
-        F.concat(F.lit(r"(?<!\d)"), d, F.lit(rf"(?:st|nd|rd|th)?{sp}+"), names, F.lit("(?![A-Za-z0-9_])")),
-    ]
+    known = {
+        "month": F.month(day).cast("string"), "day": F.dayofmonth(day).cast("string"),
+        "month_name": full, "short_name": F.substring(full, 1, 3),
+    }
     out = F.lit(False)
-    for p in patterns:
-        out = out | F.regexp(text, p)
+    for form in MONTH_DAY_FORMS:
+        parts = re.split(r"{(\w+)}", rxu(form))
+        out = out | F.regexp(text, F.concat(*[known[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)]))
     return F.coalesce(out, F.lit(False))
 
 
 def url_date(url: Column) -> Column:
     """Date in the path of a URL."""
     path = F.regexp_replace(F.regexp_replace(or_empty(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"(?s)[?#].*$", "")
-    p = r"(?<!\d)(20\d{2})[-/](\d{1,2})[-/](\d{1,2})(?!\d)"
-    parts = [F.regexp_extract(path, p, i).try_cast("int") for i in (1, 2, 3)]
+    p = r"(?U)(?<!\d)(20\d{2})[-/](\d{1,2})[-/](\d{1,2})(?!\d)"
+    parts = [F.regexp_extract(nfkc(path), p, i).try_cast("int") for i in (1, 2, 3)]
     return safe_date(*parts)
+
+
+def _stated(text: Column, form: str, ignore_case: bool) -> Column:
+    """(start, end, month, day) of every match of a form; the month is null where its name is none.
+
+    A match begins where the texts between matches and the matches before it end.
+    """
+    group = re.compile(form).groupindex
+    pattern = F.lit(("(?iU)" if ignore_case else "(?U)") + re.sub(r"\(\?P<\w+>", "(", form))
+    between, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    got = {n: F.regexp_extract_all(text, pattern, F.lit(i)) for n, i in group.items()}
+    size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+
+    def read(match: Column, i: Column) -> Column:
+        at = lambda n: F.nullif(F.get(got[n], i), F.lit("")) if n in got else F.lit(None).cast("string")
+        start = size(between, i + 1) + size(whole, i)
+        month = F.coalesce(at("month").try_cast("int"), month_number(at("month_name")))
+        year = F.coalesce(at("year"), at("end_year")).try_cast("int")
+        return F.struct(
+            start.alias("start"), (start + F.length(match)).alias("end"), month.alias("month"),
+            safe_date(year, month, at("day").try_cast("int")).cast("string").alias("day"),
+        )
+
+    return F.filter(F.transform(whole, read), lambda m: m["month"].isNotNull())
+
+
+def explicit_dates(text: Column) -> Column:
+    """Fully stated dates of an NFKC text as ISO text, first seen first.
+
+    A range gives its first day, and dates inside its span are not read again.
+    """
+    ranges = F.concat(*[_stated(text, f, i > 0) for i, f in enumerate(RANGE_FORMS)])
+    dates = F.concat(*[_stated(text, f, i > 2) for i, f in enumerate(DATE_FORMS)])
+    free = F.filter(dates, lambda d: ~F.exists(ranges, lambda r: (r["start"] <= d["start"]) & (d["end"] <= r["end"])))
+    return F.array_distinct(F.filter(F.transform(F.concat(ranges, free), lambda d: d["day"]), lambda x: x.isNotNull()))

@@ -42,6 +42,16 @@ def rxi(pattern: str) -> str:
     return "(?i)" + rx(pattern)
 
 
+def rxu(pattern: str) -> str:
+    """A case-ignoring pattern whose ``\\b``, ``\\d``, ``\\w`` and ``\\s`` know all scripts, for rules written that way."""
+    return "(?iU)" + pattern
+
+
+def says(col: Column, pattern: str) -> Column:
+    """True when the text has the pattern, boundaries in any script; never null."""
+    return F.coalesce(col.rlike(rxu(pattern)), F.lit(False))
+
+
 def any_match(col: Column, patterns: list[str]) -> Column:
     """True when one of the (case-ignoring) patterns is found; never null."""
     hit = F.lit(False)

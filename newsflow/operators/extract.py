@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.functions.dates import has_month_day, listing_date, parse_published, url_date
+from newsflow.functions.dates import explicit_dates, has_month_day, listing_date, parse_published, url_date
 from newsflow.functions.html import scan_pages
 from newsflow.functions.joins import first_per_key, top_per_key, top_rows
 from newsflow.functions.text import (
-    BOILERPLATE, SP, any_match, clean_text, decode_entities, html_to_text, or_empty, rx, rxi, squash, strip,
+    BOILERPLATE, SP, any_match, clean_text, decode_entities, html_to_text, or_empty, rx, rxi, says, squash, strip,
 )
-from newsflow.functions.unicode import date_candidates, nfkc_lower
+from newsflow.functions.unicode import nfkc
 from newsflow.functions.urls import canonical_url, host_key, url_part
 
 # --- fixed values: thresholds, patterns and word lists of the page rules ---
@@ -241,7 +241,7 @@ def page_photo(scanned: DataFrame) -> DataFrame:
     named = ~declared & (name(1) > 0)
     w, h = F.when(named, name(1)).otherwise(px("width")), F.when(named, name(2)).otherwise(px("height"))
     imgs = imgs.withColumn("w", w).withColumn("h", h)
-    ok = _photo_ok(F.col("u")) & ~F.col("attrs").rlike(rxi(DECORATIVE_ATTR)) & ~(
+    ok = _photo_ok(F.col("u")) & ~says(F.col("attrs"), DECORATIVE_ATTR) & ~(
         (F.col("w") > 0) & (F.col("h") > 0) & ((F.col("w") < MIN_EDGE) | (F.col("h") < MIN_EDGE))
     )
     area = F.greatest(F.col("w") * F.col("h"), F.coalesce(F.col("_s.w") * F.col("_s.w"), F.lit(0)))
@@ -434,15 +434,18 @@ def title_backfill(ra: DataFrame, pages: DataFrame, limit: int = 30, dry_run: bo
 
 def event_date_candidates(df: DataFrame, col: str, key: str) -> DataFrame:
     """(key, pos, event_date): fully stated dates of a text, first seen first."""
-    return df.select(key, F.posexplode(date_candidates(F.col(col))).alias("pos", "d")).select(key, "pos", F.col("d").cast("date").alias("event_date"))
+    folded = df.select(key, nfkc(F.col(col)).alias("_text"))
+    return folded.select(key, F.posexplode(explicit_dates(F.col("_text"))).alias("pos", "d")).select(key, "pos", F.col("d").cast("date").alias("event_date"))
 
 
 def page_date_evidence(scanned: DataFrame, markdown: str = "text") -> DataFrame:
     """(page_id, json_ld_dates, body_dates, url_date, url_supported) of each page."""
     starts = F.array_join(F.transform("ld_events", lambda e: e["start"]), " ;; ")
     staged = scanned.select(
-        "page_id", "url", date_candidates(starts).alias("_ld"), date_candidates(F.col(markdown)).alias("_body"),
-        nfkc_lower(F.col(markdown)).alias("_low"), url_date(F.col("url")).alias("url_date"),
+        "page_id", "url", nfkc(starts).alias("_starts"), nfkc(F.col(markdown)).alias("_text"), url_date(F.col("url")).alias("url_date"),
+    ).select(
+        "page_id", "url_date", explicit_dates(F.col("_starts")).alias("_ld"), explicit_dates(F.col("_text")).alias("_body"),
+        F.lower("_text").alias("_low"),
     )
     dates = lambda c: F.transform(c, lambda x: x.cast("date"))
     return staged.select(

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import dates, urls
 from newsflow.functions.html import scan_pages
-from newsflow.functions.text import clean_text, decode_entities
-from newsflow.functions.unicode import explicit_dates, first_json_array
+from newsflow.functions.text import clean_text, decode_entities, says
+from newsflow.functions.unicode import first_json_array, nfkc
 from newsflow.operators import extract as x
 from newsflow.operators import gate as g
 
@@ -33,8 +33,9 @@ def test_listing_dates(spark):
     ("２０２６年８月２９日", ["2026-08-29"]), ("2026년 8월 29일부터 2026년 8월 31일", ["2026-08-29"]), ("2026-08-29 and 2026/9/1", ["2026-08-29", "2026-09-01"]),
     ("土 29 8月 2026", ["2026-08-29"]), ("Aug 29th, 2026", ["2026-08-29"]), ("2026-02-31", []), ("August 29", []),
 ])
-def test_explicit_dates(text, want):
-    assert explicit_dates(text) == want
+def test_explicit_dates(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string").select(nfkc("t").alias("t"))
+    assert df.select(dates.explicit_dates(F.col("t"))).first()[0] == want
 
 
 def test_urls(spark):
@@ -123,11 +124,21 @@ def test_items_are_checked(spark):
     assert (r.facts.lineup, r.facts.venue, r.facts.ticket_url) == (["A", "B"], None, "https://x.com/t")
 
 
-def test_binding():
+def test_binding(spark):
     md = "# One\nalpha quote here\n# Two\nbeta words\n# Three\ngamma"
-    item = lambda h, q: {"headline_en": h, "entities_en": [], "quotes": q}
-    got = g.bind_page(md, [item("x", ["Alpha quote"]), item("beta words", []), item("zzz", []), item("zzz", [])])
-    assert [(r, c) for _, r, c in got] == [("evidence_quotes_bound", True), ("lexical_fallback", True), ("lexical_binding_ambiguous", False), ("lexical_binding_ambiguous", False)]
+    asked = [("x", ["Alpha quote"]), ("beta words", []), ("zzz", []), ("zzz", [])]
+    items = spark.createDataFrame(
+        [("p", n, h, [], {"k": q}) for n, (h, q) in enumerate(asked)],
+        "page_id string, item_no int, headline_en string, entities_en array<string>, experience_evidence map<string,array<string>>")
+    rows = g.bind_items(items, spark.createDataFrame([("p", md)], "page_id string, markdown string")).orderBy("item_no").collect()
+    assert [r.source_text for r in rows[:3]] == ["# One\nalpha quote here", "# Two\nbeta words", "# Three\ngamma"]
+    assert [(r.binding_reason, r.binding_confident) for r in rows] == [("evidence_quotes_bound", True), ("lexical_fallback", True), ("lexical_binding_ambiguous", False), ("lexical_binding_ambiguous", False)]
+
+
+def test_rules_know_other_scripts(spark):
+    got = values(spark, lambda c: says(c, g.DANCE_CENTRALITY), ["DJ set이", "レイヴtechno night", "a DJ set", "techno night"])
+    assert got == [False, False, True, True]
+    assert values(spark, lambda c: says(c, g.PROGRAM_INDEPENDENCE), ["10pm-새벽", "10pm- x", "doors 9"]) == [True, False, True]
 
 
 def test_event_date_tiers(spark):
