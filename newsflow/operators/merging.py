@@ -135,7 +135,7 @@ def merge_component(pdf: pd.DataFrame) -> pd.DataFrame:
             "cohesion": int(r.cohesion_score), "kw": list(r.kw), "ents": list(r.ents), "series": set(r.series),
             "topic_terms": list(r.topic_terms), "facts": list(r.facts),
         }
-        for r in pdf.sort_values("pos").itertuples()
+        for r in pdf.sort_values(["pos", "group_id"]).itertuples()
     ]
     rows = [
         (g["parts"], g["topic"], g["reason"], [k["k"] for k in g["kw"]], g["article_ids"], [e["e"] for e in g["ents"]], g["cohesion"])

@@ -502,7 +502,8 @@ def _score_pairs(probe: DataFrame, index: DataFrame) -> DataFrame:
     ents = F.size(F.array_intersect("x__ek", "y__ek"))
     story = story_overlap(F.col("x_terms"), F.col("y_terms"))
     near = F.abs(F.unix_micros("x__latest") - F.unix_micros("y__latest")) <= RECENT_SECONDS * 1_000_000
-    first = F.col("x_pos") < F.col("y_pos")
+    first = F.struct("x_pos", "x_group_id") < F.struct("y_pos", "y_group_id")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
     return (
         joined.where(F.size(F.array_distinct(F.concat("x__dates", "y__dates"))) <= 1)
         .withColumn("_e", ents).withColumn("_s", story)
@@ -512,10 +513,8 @@ def _score_pairs(probe: DataFrame, index: DataFrame) -> DataFrame:
         )
         .select(
             "run_id",
-            F.when(first, F.col("x_group_id")).otherwise(F.col("y_group_id")).alias("left_id"),
-            F.when(first, F.col("y_group_id")).otherwise(F.col("x_group_id")).alias("right_id"),
-            F.least("x_pos", "y_pos").alias("left_pos"),
-            F.greatest("x_pos", "y_pos").alias("right_pos"),
+            pick("x_group_id", "y_group_id").alias("left_id"), pick("y_group_id", "x_group_id").alias("right_id"),
+            pick("x_pos", "y_pos").alias("left_pos"), pick("y_pos", "x_pos").alias("right_pos"),
             (F.col("_e") * 2 + F.col("_s")).alias("score"),
         )
         .distinct()
@@ -622,7 +621,7 @@ def merge_groups(groups: DataFrame, local_bound: int = LOCAL_BOUND) -> DataFrame
     by_key = salted_join(by_key, shared, ["k"], ["group_id"], how="left_semi")
     comp = components(by_key.select(F.col("k").alias("a"), F.concat(F.lit("\u0002"), "group_id").alias("b")))
     comp = comp.where(F.col("id").startswith("\u0002")).select(
-        F.substring("id", 2, 1_000_000).alias("group_id"), "component"
+        F.expr("substr(id, 2)").alias("group_id"), "component"
     )
     sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
     comp = cut(salted_join(comp, sizes, ["component"], ["group_id"]))
@@ -688,7 +687,7 @@ def _merge_rounds(active: DataFrame) -> DataFrame:
     step = 0
     while True:
         best = pairs.groupBy("component").agg(
-            F.min_by(F.struct("left_id", "right_id"), F.struct(-F.col("score"), F.col("left_pos"), F.col("right_pos"))).alias("p")
+            F.min_by(F.struct("left_id", "right_id"), F.struct(-F.col("score"), "left_pos", "left_id", "right_pos", "right_id")).alias("p")
         ).select("component", "p.left_id", "p.right_id")
         best = cut(best.withColumn("new_pos", F.lit(base + step)))
         if best.isEmpty():

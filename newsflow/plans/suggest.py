@@ -51,7 +51,8 @@ def suggest_outcome(
     parsed = stories.parse_proposals(outputs).join(outputs.select("output_id", "run_id"), "output_id")
     groups = parsed.where("is_singleton").select(
         "run_id", F.concat_ws("-", "output_id", F.lpad(F.col("proposal_no").cast("string"), 6, "0")).alias("group_id"),
-        F.col("proposal_no").alias("pos"), "topic", "keywords", "article_ids", "reason", "common_entities", "cohesion_score",
+        F.lit(0).cast("long").alias("pos"),  # the id alone gives the order: answers, then their proposals
+        "topic", "keywords", "article_ids", "reason", "common_entities", "cohesion_score",
     )
     normalized = stories.normalize_proposals(groups, stories.article_features(articles_in, index))
     merged = stories.merge_groups(normalized.where("drop_reason IS NULL"))
