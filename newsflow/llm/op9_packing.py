@@ -33,7 +33,7 @@ TIERS = (256, 512, 1024, 2048, 4096)
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
 GROUP = 32
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "

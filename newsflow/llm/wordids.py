@@ -15,7 +15,7 @@ import numpy as np
 
 from newsflow.llm import textbytes as tb
 
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 JOINED = 1000
 
 _WHITE, _LETTER, _SIGN, _OTHER = 0, 1, 2, 3
