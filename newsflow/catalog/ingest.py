@@ -229,7 +229,7 @@ ORACLE: dict[str, str] = {
 SELECT url, arg_min(source, pos) AS source, min(pos) AS pos FROM feed WHERE url <> '' AND url NOT IN (SELECT url FROM stored) GROUP BY url"""),
     "ingest_outcomes": "WITH " + FEED_SQL.strip() + (""",
 o AS (SELECT source, CASE WHEN url = '' THEN 'no_link' WHEN url IN (SELECT url FROM stored) THEN 'url_exists'
-  WHEN pos = min(pos) OVER (PARTITION BY url) THEN 'inserted' ELSE 'url_exists' END AS outcome FROM feed)
+  WHEN row_number() OVER (PARTITION BY url ORDER BY source, pos) = 1 THEN 'inserted' ELSE 'url_exists' END AS outcome FROM feed)
 SELECT coalesce(source, 'all') AS source, count(*) AS seen, count_if(outcome = 'inserted') AS inserted, count_if(outcome = 'url_exists') AS url_exists,
   0 AS unique_conflict, count_if(outcome = 'no_link') AS no_link, 0 AS failed FROM o GROUP BY ROLLUP (o.source)"""),
     "ingest_stamp": sql("ra", """

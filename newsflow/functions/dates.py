@@ -84,30 +84,44 @@ def _offset(zone: Column) -> Column:
     return F.when(z == "", "+00:00").otherwise(out)
 
 
+def _iso_time(t: Column) -> Column:
+    g = lambda i: F.regexp_extract(t, rx(ISO), i)
+    part = lambda x, d: F.when(x == "", d).otherwise(x)
+    iso = F.concat(
+        g(1), F.lit("-"), g(2), F.lit("-"), g(3), F.lit("T"), part(g(4), "00"), F.lit(":"), part(g(5), "00"),
+        F.lit(":"), part(g(6), "00"), F.lit("."), F.rpad(g(7), 6, "0"), _offset(g(8)),
+    )
+    return F.when(g(1) != "", iso).try_cast("timestamp")
+
+
+def _iso_day(t: Column) -> Column:
+    day = F.concat(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("T00:00:00+00:00"))
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), day).try_cast("timestamp")
+
+
+def _of_this_age(at: Column) -> Column:
+    return F.when(F.year(at).between(2000, 2100), at)
+
+
+def parse_iso(col: Column) -> Column:
+    """Time of ISO text, or the day of text that starts with one; no zone is UTC, years 2000 to 2100 only."""
+    t = strip(or_empty(col))
+    return _of_this_age(F.coalesce(_iso_time(t), _iso_day(t)))
+
+
 def parse_published(col: Column) -> Column:
     """Publication time of ISO or mail-style text; no zone is UTC, years 2000 to 2100 only.
 
     Text that only starts with an ISO date gives that day.
     """
     t = strip(or_empty(col))
-    g = lambda i: F.regexp_extract(t, rx(ISO), i)
     part = lambda x, d: F.when(x == "", d).otherwise(x)
-    iso = F.concat(
-        g(1), F.lit("-"), g(2), F.lit("-"), g(3), F.lit("T"), part(g(4), "00"), F.lit(":"), part(g(5), "00"),
-        F.lit(":"), part(g(6), "00"), F.lit("."), F.rpad(g(7), 6, "0"), _offset(g(8)),
-    )
     r = lambda i: F.regexp_extract(t, rx(RFC), i)
     rfc = F.concat(
         r(3), F.lit("-"), F.lpad(month_number(r(2)).cast("string"), 2, "0"), F.lit("-"), F.lpad(r(1), 2, "0"),
         F.lit("T"), part(r(4), "00"), F.lit(":"), part(r(5), "00"), F.lit(":"), part(r(6), "00"), _offset(r(7)),
     )
-    day = F.concat(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("T00:00:00+00:00"))
-    out = F.coalesce(
-        F.when(g(1) != "", iso).try_cast("timestamp"),
-        F.when(r(3) != "", rfc).try_cast("timestamp"),
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), day).try_cast("timestamp"),
-    )
-    return F.when(F.year(out).between(2000, 2100), out)
+    return _of_this_age(F.coalesce(_iso_time(t), F.when(r(3) != "", rfc).try_cast("timestamp"), _iso_day(t)))
 
 
 def nearest_date(m: Column, d: Column, today: Column) -> Column:

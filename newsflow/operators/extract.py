@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.functions.dates import explicit_dates, has_month_day, listing_date, parse_published, url_date
+from newsflow.functions.dates import explicit_dates, has_month_day, listing_date, parse_iso, url_date
 from newsflow.functions.html import scan_pages
 from newsflow.functions.joins import first_per_key, top_per_key, top_rows
 from newsflow.functions.text import (
@@ -250,21 +250,21 @@ def page_photo(scanned: DataFrame) -> DataFrame:
 
 
 def page_published(scanned: DataFrame) -> DataFrame:
-    """(page_id, published_at): linked data, then known meta keys, then labelled times."""
+    """(page_id, published_at): linked data, then known meta keys, then labelled times; ISO forms only.
+
+    Only the first tag of a meta key counts, whatever it says.
+    """
     ld = F.transform(
         F.filter("ld_values", lambda v: v["key"].isin(PUBLISHED_LD)), lambda v, i: F.struct(F.lit(1).alias("tier"), i.alias("pos"), v["value"].alias("value"))
     )
-    key_pos = lambda m: F.array_position(F.array(*[F.lit(k) for k in PUBLISHED_META]), m["key"]).cast("int")
-    first_meta = F.filter("meta", lambda m: m["key"].isin(PUBLISHED_META))
-    meta = F.transform(first_meta, lambda m, i: F.struct(F.lit(2).alias("tier"), (key_pos(m) * 10000 + i).alias("pos"), m["content"].alias("value")))
+    firsts = F.transform(F.array(*[F.lit(k) for k in PUBLISHED_META]), lambda k: F.get(F.filter("meta", lambda m: m["key"] == k), F.lit(0)))
+    meta = F.transform(
+        F.filter(firsts, lambda m: m.isNotNull()), lambda m, i: F.struct(F.lit(2).alias("tier"), i.alias("pos"), m["content"].alias("value")))
     times = F.transform(
         F.filter("times", lambda t: t["label"].rlike("(?i)" + PUBLISHED_ATTR)), lambda t, i: F.struct(F.lit(3).alias("tier"), i.alias("pos"), t["stamp"].alias("value"))
     )
-    rows = scanned.select("page_id", F.explode(F.concat(ld, meta, times)).alias("c")).select("page_id", "c.*")
-    # only the first tag of a meta key counts
-    stamped = rows.withColumn("at", parse_published(F.col("value"))).where("at IS NOT NULL")
-    best = stamped.groupBy("page_id").agg(F.min_by("at", F.struct("tier", "pos")).alias("published_at"))
-    return scanned.select("page_id").join(best, "page_id", "left")
+    stamped = F.transform(F.concat(ld, meta, times), lambda c: parse_iso(c["value"]))
+    return scanned.select("page_id", F.get(F.filter(stamped, lambda at: at.isNotNull()), F.lit(0)).alias("published_at"))
 
 
 def fetch_adequacy(pages: DataFrame, scanned: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,25 +11,25 @@ from newsflow.functions.joins import first_per_key
 from newsflow.functions.text import strip
 
 
-def insert_if_absent(new: DataFrame, existing: DataFrame, key: str = "url", order: str = "pos") -> DataFrame:
-    """Rows of ``new`` whose key is not in ``existing``; the first occurrence of a key wins.
+def insert_if_absent(new: DataFrame, existing: DataFrame, key: str = "url", order: Sequence[str] = ("pos",)) -> DataFrame:
+    """Rows of ``new`` whose key is not in ``existing``; the first occurrence of a key by ``order`` wins.
 
     Known keys are removed first, so that only candidates are ranked.
     """
     fresh = new.join(existing.select(key).distinct(), key, "left_anti")
-    return first_per_key(fresh, [key], [F.col(order).asc()])
+    return first_per_key(fresh, [key], [F.col(c).asc() for c in order])
 
 
 def ingest_outcomes(items: DataFrame, existing: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """``items`` (source, pos, url) with ``outcome``.
 
     no_link, url_exists (stored before, or earlier in this run), unique_conflict and failed
-    for the given failures (url, conflict), else inserted.
+    for the given failures (url, conflict), else inserted.  One source is finished before the next.
     """
     known = existing.select("url").distinct().withColumn("_known", F.lit(True))
     fails = (failed if failed is not None else items.select("url", F.lit(False).alias("conflict")).limit(0))
     fails = fails.groupBy("url").agg(F.max("conflict").alias("_conflict"))
-    first = items.where("url <> ''").groupBy("url").agg(F.min(F.struct("pos", "source")).alias("_first"))
+    first = items.where("url <> ''").groupBy("url").agg(F.min(F.struct("source", "pos")).alias("_first"))
     j = items.join(known, "url", "left").join(fails, "url", "left").join(first, "url", "left")
     is_first = (F.col("_first.pos") == F.col("pos")) & F.col("_first.source").eqNullSafe(F.col("source"))
     outcome = (

@@ -15,7 +15,7 @@ from newsflow.operators.serving import genre_key
 
 # --- fixed values: slug, category and quality rules ---
 SLUG_CHARS = 50
-LAST_SUFFIX = 99
+LAST_SUFFIX = 98
 CATEGORIES = ["페스티벌", "릴리즈", "뉴스"]
 DEFAULT_CATEGORY, RELEASE, DEFAULT_GENRE = "뉴스", "릴리즈", "edm"
 GENRES = ["house", "techno", "edm"]
@@ -137,9 +137,9 @@ def _assign_family(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def allocate_slugs(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(id, slug): first free of base, base-2 ... base-99 for every new row, in id order.
+    """(id, slug): first free of base, base-2 ... base-98 for every new row, in id order.
 
-    A row beyond the last suffix gets its id as suffix.  Only the first 99 rows of a base
+    A row beyond the last suffix gets its id as suffix.  Only the first 98 rows of a base
     can get a number, which bounds what one base contributes before any grouping.  Bases
     that are a suffix of each other are settled together, the others by rank alone.
     """

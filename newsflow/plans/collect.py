@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.functions.dates import parse_published
+from newsflow.functions.joins import first_per_key
 from newsflow.functions.text import or_empty, strip
 from newsflow.operators import extract, ingest
 from newsflow.sources.feeds import head_per_source
@@ -17,8 +18,9 @@ def collect_feed(items: DataFrame, pages: DataFrame, existing: DataFrame, run_id
     Only the pages of items that are new are read for their title, text and media.
     """
     heads = head_per_source(items).where(or_empty(F.col("url")) != "")
-    fresh = ingest.insert_if_absent(heads, existing)
-    wanted = pages.join(fresh.select("url"), "url", "left_semi")
+    fresh = ingest.insert_if_absent(heads, existing, order=("source_id", "pos"))
+    # a page may be stored in several versions: the latest is read
+    wanted = first_per_key(pages.join(fresh.select("url"), "url", "left_semi"), ["url"], [F.col("page_id").desc()])
     parts = (
         wanted.select("page_id", "url").join(extract.page_titles(wanted), "page_id")
         .join(extract.page_text(wanted).select("page_id", "text"), "page_id").join(extract.page_media(wanted), "page_id")

@@ -32,5 +32,5 @@ def harvest(
     gated = gate.unified_gate(bound.join(verdict, "id", "left").join(sole, "page_id"))
     addressed = gate.item_image(gate.item_url(gate.candidate_key(gated)), extract.page_photo(scanned))
     accepted = addressed.where("decision = 'accepted'").select(F.col("article_url").alias("url"), "id")
-    new = ingest.insert_if_absent(accepted, existing, "url", "id").select("id", F.lit(True).alias("is_new"))
+    new = ingest.insert_if_absent(accepted, existing, "url", ("id",)).select("id", F.lit(True).alias("is_new"))
     return addressed.join(new, "id", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))

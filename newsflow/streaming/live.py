@@ -42,7 +42,7 @@ def insert_new_items(
         if batch_id > 0:
             stored = spark.read.parquet(path)
             known = known.unionByName(stored.where(F.col("batch") < batch_id).select(key))
-        insert_if_absent(batch, known, key, ts).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        insert_if_absent(batch, known, key, (ts,)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
