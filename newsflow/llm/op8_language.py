@@ -32,10 +32,10 @@ WINDOW = 128
 EMBED = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-EPOCHS = 6
+STEPS = 750  # of training, whatever the sample's size
 BATCH = 128
 SLICE = 512 << 10
-STEP = 1024  # windows at once
+AT_ONCE = 1024  # windows
 
 _PAD = max(WIDTHS) - 1
 
@@ -139,11 +139,12 @@ class Predictor:
     def log_probs(self, x: np.ndarray) -> np.ndarray:
         """Log probabilities of each window."""
         out = np.zeros((len(x), len(self.net.langs)), np.float32)
-        for i in range(0, len(x), STEP):
-            part = np.concatenate([x[i: i + STEP], np.zeros((len(x[i: i + STEP]), _PAD + 1), np.uint8)], 1).astype(np.int32)
+        for i in range(0, len(x), AT_ONCE):
+            here = x[i: i + AT_ONCE]
+            part = np.concatenate([here, np.zeros((len(here), _PAD + 1), np.uint8)], 1).astype(np.int32)
             pair = part[:, :-1] * 256 + part[:, 1:]
             h = (self.first[pair[:, :WINDOW]] + self.second[pair[:, 2: WINDOW + 2]]).max(1) + self.bias
-            out[i: i + STEP] = np.log(_softmax(np.maximum(h, 0) @ self.net.out + self.net.out_bias) + 1e-12)
+            out[i: i + AT_ONCE] = np.log(_softmax(np.maximum(h, 0) @ self.net.out + self.net.out_bias) + 1e-12)
         return out
 
 
@@ -155,11 +156,13 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 7) -> Networ
     m = [np.zeros_like(p) for p in net.params()]
     v = [np.zeros_like(p) for p in net.params()]
     t = 0
-    for _ in range(EPOCHS):
+    while t < STEPS:
         order = r.permutation(len(y))
         for i in range(0, len(y), BATCH):
             k = order[i: i + BATCH]
             t += 1
+            if t > STEPS:
+                break
             for j, (p, g) in enumerate(zip(net.params(), net.gradients(x[k], y[k], weight[k]), strict=True)):
                 m[j] += 0.1 * (g - m[j])
                 v[j] += 0.01 * (g * g - v[j])
