@@ -70,7 +70,7 @@ def _names(s, d):
 
 
 def _display(s, d):
-    text = F.lower(F.concat_ws("\n", or_empty(F.col("title")), F.substring(or_empty(F.col("content")), 1, 500)))
+    text = F.lower(F.concat_ws("\n", or_empty(F.col("title")), or_empty(F.col("content"))))
     df = dt.raw_articles(s, d).select("id", text.alias("title"))
     return lc.apply_display_names(df, _names(s, d)).select("id", "title")
 

@@ -114,13 +114,13 @@ NAV_LINE = r"^(news|tracks|features|mixes|events|genres)$"
 
 
 def clean_text(
-    col: Column, max_chars: int = 10000, keep_paragraphs: bool = False
+    col: Column, max_chars: int | None = 10000, keep_paragraphs: bool = False
 ) -> Column:
     """Readable text of a page dump.
 
     Cuts at the first stop section, puts bylines and known section names on their own
     lines, blanks boilerplate phrases, drops lines that are one navigation word, caps
-    the length.  Null stays null.
+    the length (``None``: whole text).  Null stays null.
     """
     out = F.regexp_replace(col, "(?s)" + rxi(STOP_SECTIONS) + ".*$", "")
     out = F.regexp_replace(out, rx(BYLINE), "\n$1\n")
@@ -134,7 +134,7 @@ def clean_text(
     else:
         out = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
     out = F.regexp_replace(out, r"[ \t\f\x0B]+", " ")
-    return strip(F.substring(out, 1, max_chars))
+    return strip(out if max_chars is None else F.substring(out, 1, max_chars))
 
 
 def snippet(content: Column) -> Column:

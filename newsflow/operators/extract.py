@@ -149,7 +149,7 @@ def _text_score(text: Column, attrs: Column) -> Column:
     return F.length(text) + F.regexp_count(text, F.lit("\n")) * 80 + hint - hits * 250
 
 
-def page_text(pages: DataFrame, max_chars: int = 20000) -> DataFrame:
+def page_text(pages: DataFrame, max_chars: int | None = 20000) -> DataFrame:
     """(page_id, text, score): the best-scored of article, main, section, description and whole page."""
     bare = F.regexp_replace("html", "(?s)<!--.*?-->", " ")
     for t in CHROME:
@@ -179,7 +179,9 @@ def page_text(pages: DataFrame, max_chars: int = 20000) -> DataFrame:
     )
     best = scored.groupBy("page_id").agg(F.max_by(F.struct("text", "score"), F.struct("score", -F.col("pos"))).alias("b"))
     out = pages.select("page_id").join(best, "page_id", "left")
-    return out.select("page_id", strip(F.substring(F.coalesce("b.text", F.lit("")), 1, max_chars)).alias("text"), F.col("b.score").alias("score"))
+    best_text = F.coalesce("b.text", F.lit(""))
+    best_text = best_text if max_chars is None else F.substring(best_text, 1, max_chars)
+    return out.select("page_id", strip(best_text).alias("text"), F.col("b.score").alias("score"))
 
 
 def page_media(pages: DataFrame) -> DataFrame:

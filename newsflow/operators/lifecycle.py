@@ -21,7 +21,7 @@ DEFAULT_CATEGORY, RELEASE, DEFAULT_GENRE = "뉴스", "릴리즈", "edm"
 GENRES = ["house", "techno", "edm"]
 MIN_TITLE, MIN_BODY, MIN_SCRIPT_RATIO = 8, 120, 0.3
 UNKNOWN_SOURCE, UNTITLED, UNKNOWN_HOST = "알 수 없는 소스", "제목 없음", "원문 매체"
-MIN_SOURCE_CHARS, SOURCE_CHARS = 80, 3000
+MIN_SOURCE_CHARS, SOURCE_CHARS = 80, 3000  # the default of cluster_sources; None there takes whole texts
 # --- end of fixed values ---
 
 
@@ -268,15 +268,19 @@ def attribute_single(articles: DataFrame, links: DataFrame, ra: DataFrame, sourc
     )
 
 
-def cluster_sources(links: DataFrame, ra: DataFrame, sources: DataFrame) -> DataFrame:
+def cluster_sources(
+    links: DataFrame, ra: DataFrame, sources: DataFrame, max_chars: int | None = SOURCE_CHARS
+) -> DataFrame:
     """(cluster_id, sources, error): cleaned texts of 80 or more characters per cluster.
 
+    A text gives its first ``max_chars`` characters, or all of them with ``None``.
+
     A cluster's list is one article's input to write from, so it is a row; clusters of any
     number are spread over tasks and partial lists meet only at their own cluster.
     """
     feed = sources.select(F.col("id").cast("string").alias("source_id"), F.col("name").alias("feed_name"))
     rows = links.join(ra.withColumnRenamed("id", "raw_article_id"), "raw_article_id", "left").join(feed, "source_id", "left")
-    text = clean_text(or_empty(F.col("content")), SOURCE_CHARS)
+    text = clean_text(or_empty(F.col("content")), max_chars)
     one = F.struct(
         F.col("raw_article_id").alias("id"),
         F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit(UNTITLED)).alias("title"),

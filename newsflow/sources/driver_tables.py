@@ -452,7 +452,7 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     n = d.cast("string")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (d % 45).cast("int")).cast("string")
-    title = F.regexp_replace(F.substring(F.substring_index("text", "\n", 1), 1, 80), "[<>&\"]", " ")
+    title = F.regexp_replace(F.substring_index("text", "\n", 1), "[<>&\"]", " ")
     html = F.concat(
         F.lit("<html><head>"),
         F.when(d % 3 == 0, F.concat(F.lit('<meta property="og:title" content="Cover '), title, F.lit('">'))).otherwise(""),
@@ -481,7 +481,7 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def harvest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing page per cluster with one headed block per member article."""
     ra = raw_articles(spark, sf_dir)
-    block = F.concat(F.lit("## "), "title", F.lit("\nDJ set from 22:00, tickets at the door, Hall "), "source_name", F.lit("\n"), F.substring("content", 1, 2000))
+    block = F.concat(F.lit("## "), "title", F.lit("\nDJ set from 22:00, tickets at the door, Hall "), "source_name", F.lit("\n"), "content")
     return ra.groupBy(cluster_of(F.col("doc_id")).alias("page_id")).agg(
         F.array_sort(F.collect_list(F.struct("id", block.alias("b")))).alias("l"), F.min("source_name").alias("source"), F.min("url").alias("page_url"),
     ).select("page_id", "source", "page_url", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("markdown"))
