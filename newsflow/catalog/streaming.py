@@ -21,8 +21,9 @@ def _scratch(spark) -> str:
 
 
 def _arriving(spark, sf_dir, name):
-    schema = dt.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """The table as arriving files; the pattern takes one file and a folder of part files alike."""
+    path = f"{sf_dir}/{name}.parque"
+    return spark.readStream.schema(spark.read.parquet(f"{path}t").schema).parquet(f"{path}[t]")
 
 
 def _run(spark, stream):
