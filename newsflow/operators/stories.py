@@ -492,13 +492,20 @@ def merge_pairs(groups: DataFrame) -> DataFrame:
     ``groups`` need run_id, pos and members; only groups of one run are compared.
     """
     b = _blocked(groups)
-    return _score_pairs(_pair_keys(b, True), _pair_keys(b, False))
+    return _score_pairs(b, b)
 
 
 def _score_pairs(probe: DataFrame, index: DataFrame) -> DataFrame:
-    left = probe.select("run_id", "_key", *[F.col(c).alias(f"x_{c}") for c in _PAIR_COLS])
-    right = index.select("run_id", "_key", *[F.col(c).alias(f"y_{c}") for c in _PAIR_COLS])
-    joined = left.join(right, ["run_id", "_key"]).where("x_group_id <> y_group_id")
+    """Scores of the groups that share a key; only ids meet at a key, a hot one in salted parts.
+
+    What the score needs is joined to the distinct pairs.
+    """
+    left = _pair_keys(probe, True).select("run_id", "_key", F.col("group_id").alias("x_group_id"))
+    right = _pair_keys(index, False).select("run_id", "_key", F.col("group_id").alias("y_group_id"))
+    met = salted_join(left, right, ["run_id", "_key"], ["x_group_id"]).where("x_group_id <> y_group_id")
+    ids = met.select("run_id", "x_group_id", "y_group_id").distinct()
+    side = lambda df, n: df.select(*[F.col(c).alias(f"{n}_{c}") for c in _PAIR_COLS])
+    joined = ids.join(side(probe, "x"), "x_group_id").join(side(index, "y"), "y_group_id")
     ents = F.size(F.array_intersect("x__ek", "y__ek"))
     story = story_overlap(F.col("x_terms"), F.col("y_terms"))
     near = F.abs(F.unix_micros("x__latest") - F.unix_micros("y__latest")) <= RECENT_SECONDS * 1_000_000
@@ -681,7 +688,7 @@ def _merge_local(groups: DataFrame) -> DataFrame:
 def _merge_rounds(active: DataFrame) -> DataFrame:
     """Merge large components by joins; only new groups are compared again."""
     active = cut(_blocked(active))
-    pairs = _score_pairs(_pair_keys(active, True), _pair_keys(active, False))
+    pairs = _score_pairs(active, active)
     pairs = cut(_scored(pairs, active).join(active.select(F.col("group_id").alias("left_id"), "component"), "left_id"))
     base = 1 << 40
     step = 0
@@ -698,8 +705,8 @@ def _merge_rounds(active: DataFrame) -> DataFrame:
         used = best.select(F.explode(F.array("left_id", "right_id")).alias("group_id"))
         rest = active.join(used, "group_id", "left_anti")
         peers = cut(rest.join(new.select("component"), "component", "left_semi"))
-        fresh = _score_pairs(_pair_keys(new, True), _pair_keys(peers, False)).unionByName(
-            _score_pairs(_pair_keys(peers, True), _pair_keys(new, False))
+        fresh = _score_pairs(new, peers).unionByName(
+            _score_pairs(peers, new)
         ).distinct()
         both = peers.unionByName(new, allowMissingColumns=True)
         fresh = _scored(fresh, both).join(new.select(F.col("group_id").alias("right_id"), "component"), "right_id")
