@@ -5,12 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF = "/root/testdata/sf0.001"
-LONG = "word " * 30_000
-ODD_TEXTS = [
-    None, "", "", " \n\t ", "...", "one", "ONE two", "one two\nthree four", LONG, LONG, "日本語 テキスト です", "a\x00b c\u0301d é",
-    "same text of six words here", "same text of six words here",
-]
+from brute import ODD_TEXTS, SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import brute
-from conftest import ODD_TEXTS, SF
+from brute import ODD_TEXTS, SF
 from newsflow.llm import op2_substring, op6_neardup
 
 

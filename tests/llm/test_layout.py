@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import SF
+from brute import SF
 from newsflow.llm import op1_sharding, op5_chat, op9_packing, op10_html
 from newsflow.llm import textbytes as tb
 from newsflow.llm.wordids import WordIds

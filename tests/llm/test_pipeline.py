@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from conftest import SF
+from brute import SF
 from newsflow.llm import op3_decontamination, op6_neardup, op7_quality
 from newsflow.llm.tables import read
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import brute
-from conftest import LONG, ODD_TEXTS, SF
+from brute import LONG, ODD_TEXTS, SF
 from newsflow.llm import charlm, op3_decontamination, op4_toxicity, op7_quality, op8_language
 
 
