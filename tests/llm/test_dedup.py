@@ -92,6 +92,25 @@ def test_repeated_passages_stay_once(spark):
             assert got[i].text.split() == (before + after).split()
 
 
+def test_passages_spliced_after_any_word_go_whole(spark):
+    rng = random.Random(12)
+    kinds = [prose(rng, 51), sentences(rng, 12), prose(rng, 70).capitalize() + ".", f"{prose(rng, 30)}. {prose(rng, 25)}"]
+    rows, want = [], {}
+    for i in range(80):
+        p = kinds[i % 4]
+        w = (sentences(rng, 8) if i % 3 else prose(rng, 60)).split()
+        k = rng.randrange(len(w) + 1)
+        rows.append((i, " ".join([*w[:k], p, *w[k:]])))
+        want[i] = rows[-1][1].split() if i < 4 else w
+    twice = prose(rng, 55)
+    rows.append((80, f"{prose(rng, 7)} {twice} {prose(rng, 9)} {twice} end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text.split() for r in op2_substring.remove_repeats(docs).collect()}
+    assert all(got[i] == want[i] for i in want)
+    left = " ".join(got[80])
+    assert left.count(twice) == 1 and left.split() == [*rows[-1][1].split()[: 7 + 55 + 9], "end"]
+
+
 def test_repeats_inside_one_text(spark):
     rng = random.Random(2)
     p = sentences(rng, 8)
