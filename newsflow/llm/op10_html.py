@@ -45,6 +45,7 @@ BLOCKS = frozenset(
     "h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SILENT = frozenset("button canvas datalist head iframe math noscript object option select svg template textarea title".split())
 RAW = frozenset(["script", "style", "textarea", "title"])
+IN_HEAD = frozenset("base head html link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = frozenset("nav header footer aside form dialog menu".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
@@ -58,6 +59,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
+_CLOSED = re.compile(r"(?<![^\s\"'])/\s*\Z|(?:^|[\s\"'])[^\s=\"']+/\s*\Z")  # not the end of a bare value
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -80,8 +82,11 @@ def _is_noise(tag: str, attr: dict[str, str], in_main: bool) -> bool:
         return True
     if attr.get("role") in NOISE_ROLES or _NONE.search(attr.get("style", "")):
         return True
-    words = _NAME.findall(attr.get("class", "") + " " + attr.get("id", ""))
-    return tag not in ("html", "body") and not NOISE_NAMES.isdisjoint(words)
+    if tag in ("html", "body"):
+        return False
+    # a name is known by its first part: "ad-top" is noise, "has-sidebar" and "entry-header" are not
+    names = map(_NAME.search, (attr.get("class", "") + " " + attr.get("id", "")).split())
+    return any(m and m[0] in NOISE_NAMES for m in names)
 
 
 def _fold(h: int, x: int) -> int:
@@ -96,7 +101,8 @@ class Tree:
         self.stack = [_Node("", 0, False, False, False)]
         self.text: list[str] = []
         self.size = self.linked = 0
-        self.links = self.silent = 0
+        self.links = 0
+        self.silent: list[tuple[str, int]] = []  # open elements without text of the page, and the blocks open around them
         self.blocks: list[tuple[bool, bool, str]] = []  # (in the main part, of low importance, text)
 
     def feed(self, page: str) -> Tree:
@@ -104,6 +110,8 @@ class Tree:
         while m := _TOKEN.match(page, at):
             at = m.end()
             if m[4] is not None:
+                if self.silent and self.silent[-1][0] == "head" and not m[4].isspace():
+                    self.silent.pop()
                 if not self.silent:
                     self.text.append(m[4])
                     if self.links:
@@ -116,7 +124,7 @@ class Tree:
                 self._end(tag)
                 continue
             self._start(tag, m[3])
-            if tag in RAW and not m[3].rstrip().endswith("/"):
+            if tag in RAW and not _CLOSED.search(m[3]):
                 low = page.lower() if low is None else low
                 end = low.find(f"</{tag}", at)
                 at = len(page) if end < 0 else end
@@ -126,8 +134,12 @@ class Tree:
         return self
 
     def _start(self, tag: str, rest: str) -> None:
+        top = self.silent[-1][0] if self.silent else ""
+        if top == "head" and tag not in IN_HEAD or top == tag and tag in ("button", "option"):
+            self.silent.pop()
         if tag in SILENT or tag in RAW:
-            self.silent += 1
+            if not _CLOSED.search(rest):
+                self.silent.append((tag, len(self.stack)))
         elif tag == "a":
             self.links += 1
         elif tag == "br":
@@ -145,6 +157,8 @@ class Tree:
             self.stack.append(_Node(tag, path, noise, main, up.low or path in self.removed))
 
     def _close_implied(self, tag: str) -> None:
+        if self.silent and len(self.stack) <= self.silent[-1][1]:  # a button is no part of the paragraph around it
+            return
         top = self.stack[-1].tag
         if top == "p" or (top in ("li", "dd", "dt", "td", "th", "tr") and top == tag):
             self._pop()
@@ -155,7 +169,13 @@ class Tree:
 
     def _end(self, tag: str) -> None:
         if tag in SILENT or tag in RAW:
-            self.silent = max(0, self.silent - 1)
+            if any(t == tag for t, _ in self.silent):
+                while self.silent[-1][0] != tag:
+                    self.silent.pop()
+                depth = self.silent[-1][1]
+                while len(self.stack) > depth:
+                    self._pop()
+                self.silent.pop()
         elif tag == "a":
             self.links = max(0, self.links - 1)
         elif tag in BLOCKS:
@@ -168,6 +188,8 @@ class Tree:
     def _pop(self) -> None:
         self._flush()
         n = self.stack.pop()
+        while self.silent and self.silent[-1][1] > len(self.stack):  # its end is missing
+            self.silent.pop()
         up = self.stack[-1]
         up.children = _fold(up.children, n.path)
         up.content = _fold(up.content, n.content)

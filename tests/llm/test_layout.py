@@ -205,6 +205,21 @@ def test_main_text(body, want):
     assert op10_html.Tree().feed(page).main_text() == want
 
 
+@pytest.mark.parametrize("body", [
+    "<html><head><meta charset=x><title>T</title><script>1</script><p>Text</p>",
+    "<head><title>T</title>Text",
+    "<head><title>T</title></head><select><option>A<option>B</select><p>Text",
+    "<svg width=1 /><iframe src='x'/><p>Text",
+    "<form><select><option>A</form><p>Text",
+    "<p><button><p>Press</p></button>Text</p>",
+    "<noscript><div class=notice>Off</noscript><p>Text",
+    "<object data=a/>none</object><p>Text",
+    "<div class='has-sidebar'><div class='entry-header'><p>Text</p></div><div class='cookie-banner'>Yes</div></div>",
+])
+def test_text_after_open_markup_stays(body):
+    assert op10_html.Tree().feed(body).main_text() == "Text"
+
+
 def test_pages(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = op10_html.op10_html(spark, SF).collect()
