@@ -5,11 +5,13 @@
 2. The trees of one host are merged by path: Spark counts how often each node shows each presentation and each
    content.  A node's importance is ``(1 - GAMMA) * presentation + GAMMA * content``, both
    entropies relative to an even spread over the host's occurrences, times the share of its text outside links.
+   Inside an article or main part every distinct part counts once, so an article carried on many pages keeps its entropy; links
+   count as text there, and the mark itself is a prior: importance starts at the share of the host's main text that
+   the node holds, and a title (``h1``) stays, so versions of one article don't cost a host its articles.
 3. Branches of low importance are removed from every page.  Entropy cannot tell menus whose words change from page to
    page from articles, so nodes whose tag, class, id or role names them as menu, header, footer, sidebar, notice,
-   advert, form or comments have importance 0; and where a page marks an article or main part, the
-   branches outside it have importance 0 and those inside are judged by name alone: a site may well
-   carry one article on many pages.
+   advert, form or comments have importance 0; and where a page marks an article or main part, so have the
+   branches outside it.
 
 The counts of a host are partial sums, so a host with a third of all pages is added up before the
 shuffle.  What a host removes is one row; Spark's own size check decides how it reaches the pages.
@@ -103,6 +105,7 @@ class Tree:
         self.size = self.linked = 0
         self.links = 0
         self.silent: list[tuple[str, int]] = []  # open elements without text of the page, and the blocks open around them
+        self.inside: Counter = Counter()  # nodes of the open main part
         self.blocks: list[tuple[bool, bool, str]] = []  # (in the main part, of low importance, text)
 
     def feed(self, page: str) -> Tree:
@@ -154,7 +157,7 @@ class Tree:
             path = xxhash.xxh64_intdigest(style.encode(), up.path & 0xFFFFFFFF) & 0x7FFFFFFFFFFFFFFF
             main = up.main or tag in ("article", "main")
             noise = up.noise or _is_noise(tag, attr, up.main)
-            self.stack.append(_Node(tag, path, noise, main, up.low or path in self.removed))
+            self.stack.append(_Node(tag, path, noise, main, up.low or (path in self.removed and not (main and tag == "h1"))))
 
     def _close_implied(self, tag: str) -> None:
         if self.silent and len(self.stack) <= self.silent[-1][1]:  # a button is no part of the paragraph around it
@@ -196,8 +199,16 @@ class Tree:
         up.chars += n.chars
         up.linked += n.linked
         if self.nodes is not None:
-            self.nodes[self.host, n.path, n.children, n.content] += 1
-            self.nodes[self.host, n.path, None, None] += n.linked << 40 | n.chars
+            self.nodes[self.host, n.path, None, None, 0] += n.linked << 40 | n.chars
+            if not n.main:
+                self.nodes[self.host, n.path, n.children, n.content, 0] += 1
+                return
+            self.inside[n.path, n.children, n.content] += 1
+            if not up.main:  # the whole part is known by what is in it
+                part = _fold(n.children, n.content) | 1
+                for k, v in self.inside.items():
+                    self.nodes[self.host, *k, part] = v
+                self.inside.clear()
 
     def _flush(self) -> None:
         if not self.text:
@@ -216,7 +227,7 @@ class Tree:
 
     def main_text(self) -> str:
         if any(main for main, _, _ in self.blocks):
-            return "\n".join(t for main, _, t in self.blocks if main)
+            return "\n".join(t for main, low, t in self.blocks if main and not low)
         return "\n".join(t for _, low, t in self.blocks if not low)
 
 
@@ -224,7 +235,7 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")), url, F.lit("")))
 
 
-_NODE = "host string, path long, children long, content long, n long, chars long, linked long"
+_NODE = "host string, path long, children long, content long, part long, n long, chars long, linked long"
 
 
 def _signed(x: int | None) -> int | None:
@@ -232,7 +243,10 @@ def _signed(x: int | None) -> int | None:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """Counts of (host, path, children, content), and text sizes of (host, path); added up within each batch."""
+    """Counts of (host, path, children, content, part), and text sizes of (host, path); added up within each batch.
+
+    ``part`` is the article or main part around a node, 0 outside; a part counts once however many pages carry it.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,9 +260,9 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                         chars, linked = sizes.get(k[:2], (0, 0))
                         sizes[k[:2]] = (chars + (v & (1 << 40) - 1), linked + (v >> 40))
                     else:
-                        nodes[k] += v
-            rows = [(h, p, _signed(c), _signed(t), n, 0, 0) for (h, p, c, t), n in nodes.items()]
-            rows += [(h, p, None, None, 0, c, k) for (h, p), (c, k) in sizes.items()]
+                        nodes[k] = max(nodes[k], v) if k[4] else nodes[k] + v
+            rows = [(h, p, _signed(c), _signed(t), _signed(m), n, 0, 0) for (h, p, c, t, m), n in nodes.items()]
+            rows += [(h, p, None, None, 0, 0, c, k) for (h, p), (c, k) in sizes.items()]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield tables.record([
@@ -256,7 +270,10 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                     for f, c in zip(_NODE.split(", "), cols, strict=True)
                 ])
 
-    return pages.select("host", "html").mapInArrow(work, _NODE)
+    each = pages.select("host", "html").mapInArrow(work, _NODE)
+    n = F.when(F.col("part") == 0, F.sum("n")).otherwise(F.max("n"))
+    return each.groupBy("host", "path", "children", "content", "part").agg(
+        n.alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -268,11 +285,15 @@ def importance(nodes: DataFrame) -> DataFrame:
         even = F.when(n > 1, (F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n)).otherwise(1.0)
         return each.groupBy("host", "path").agg(n.alias("n"), even.alias(f"h_{what}"))
 
-    sizes = nodes.groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    sizes = nodes.groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max(F.col("part") != 0).alias("main"))
     free = F.when(F.col("chars") > 0, 1 - F.col("linked") / F.col("chars")).otherwise(1.0)
+    whole = sizes.where("main").groupBy("host").agg(F.max("chars").alias("whole"))
+    prior = F.when(F.col("whole") > 0, F.col("chars") / F.col("whole")).otherwise(1.0)
+    spread = (1 - GAMMA) * F.col("h_children") + GAMMA * F.col("h_content")
     return (
         entropy("children").join(entropy("content").drop("n"), ["host", "path"]).join(sizes, ["host", "path"])
-        .select("host", "path", "n", (((1 - GAMMA) * F.col("h_children") + GAMMA * F.col("h_content")) * free).alias("importance"))
+        .join(whole, "host", "left")
+        .select("host", "path", "n", F.when(F.col("main"), prior + (1 - prior) * spread).otherwise(spread * free).alias("importance"))
     )
 
 

@@ -243,3 +243,17 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert sorted(got) == sorted(
         [(i, f"Own text {i} of {i * i}") for i in range(8)] + [(90, ""), (91, ""), (92, "lone"), (92, "lone")])
     assert op10_html.extract(pages.limit(0)).count() == 0
+
+
+def test_style_tree_decides_inside_articles(spark):
+    more = " and more of it" * 20
+    tail = "<div class=x1>Read it in our app</div></article>"
+    rows = [(i, "https://a.example/", f"<article><h1><a href=/{i}>Head {i}</a></h1><p>Text {i} of {i * i}{more}</p>{tail}") for i in range(8)]
+    rows += [(100 + i, "https://a.example/", f"<p>Page {i}</p><article><h1>Copy</h1><p>One article on many pages{more}</p>{tail}") for i in range(200)]
+    # versions of one article on a host of its own
+    rows += [(300 + i, "https://b.example/", f"<article><h1>One</h1><p>One article{more}</p><p>{i} views</p>{tail}") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op10_html.extract(pages.repartition(5)).collect()}
+    assert all(got[i] == f"Head {i}\nText {i} of {i * i}{more}" for i in range(8))
+    assert all(got[100 + i] == f"Copy\nOne article on many pages{more}" for i in range(200))
+    assert all(got[300 + i] == f"One\nOne article{more}\n{i} views" for i in range(50))
