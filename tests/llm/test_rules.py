@@ -28,6 +28,17 @@ def test_base_counts_of_odd_rows(odd):
     assert kept.columns == odd.columns and kept.count() == 0  # the long text repeats itself
 
 
+def test_bands_leave_out_a_languages_junk():
+    rng = np.random.default_rng(2)
+    size = np.where(np.arange(2000) % 2 == 0, 400, 6400)
+    clean = 1.6 + rng.normal(size=2000) * 0.9 / np.sqrt(size)
+    junk = np.full(500, 1.75)  # a fifth of the language, in texts of 3,000 bytes
+    loss, size = np.concatenate([clean, junk]), np.concatenate([size, np.full(500, 3000)])
+    band = {"xx": op7_quality.center(loss, size, np.ones(2500, np.int64))}
+    kept = op7_quality._verdict(np.full(2500, "xx", object), loss, size, np.zeros(2500, bool), band)
+    assert kept[:2000].mean() > 0.995 and not kept[2000:].any()
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(1)
     code = np.unique(rng.integers(0, 1 << 24, 500))
