@@ -15,6 +15,7 @@ MODULES = {
     "op8_language": "op8_language",
     "op9_packing": "op9_packing",
     "op10_html": "op10_html",
+    "op13_alignment": "op13_alignment",
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"newsflow.llm.{m}"), name) for name, m in MODULES.items()}
