@@ -43,7 +43,6 @@ from newsflow.llm import textbytes as tb
 WORK = 64
 CHUNK_LINKS = 1 << 21
 CACHE_PIECES = 400_000
-CACHED_BYTES = 64
 SLICE = 1 << 20
 
 SCHEMA = (
