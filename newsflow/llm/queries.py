@@ -15,6 +15,7 @@ MODULES = {
     "op8_language": "op8_language",
     "op9_packing": "op9_packing",
     "op10_html": "op10_html",
+    "op11_licenses": "op11_licenses",
     "op12_whitening": "op12_whitening",
     "op13_alignment": "op13_alignment",
 }
