@@ -173,3 +173,38 @@ def test_gate(spark):
     assert got == {n: (d, p) for n, *_, d, p in cases}
     keys = {r.page_id: r.candidate_key for r in g.candidate_key(df.withColumn("base_url", F.col("page_url"))).collect()}
     assert len(set(keys.values())) == 1 and all(len(k) == 16 for k in keys.values())
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, "https://a.example.com/x/", h) for i, h in enumerate(pages)], "page_id int, url string, html string")
+    return {int(r.page_id): r for r in scan_pages(df).collect()}
+
+
+def test_tags_of_a_megabyte(spark):
+    long, quoted = "b " * 500_000, "x" * 1_000_000
+    got = texts_of(spark, [
+        f"<p>a</p><b {long}", f"<p>a</p><b {long}>c</b>", f'<p>a</p><b title="{quoted}">c</b>', f"<p>a</p><b {long * 1}'>c</b>",
+        "<p>a</p>" + "<a " * 300_000, "<p>a</p>" + "<!-- " * 200_000, "<p>a</p>" + '<a x="' * 100_000, "<p>a</p>" + "<b q=' " * 100_000 + ">c",
+        "<p>a</p>" + "<i>" * 200_000 + "c", "<p>a</p><script>" + "<" * 900_000, "<p>a</p>" + "<b\"'" * 100_000 + ">c</b>"])
+    for i, r in got.items():
+        assert r.text.split() in (["a"], ["a", "c"]), (i, r.text[:50])
+    assert got[1].text.split() == got[2].text.split() == got[8].text.split() == ["a", "c"]
+
+
+def test_silent_elements_nest(spark):
+    got = texts_of(spark, [
+        "<template><template>a</template>b</template>c", "<svg><style>x</style><noscript>y<svg>z</svg>w</noscript>v</svg>c", "<svg/>c<template/>d",
+        "<svg><svg><svg><svg><svg><svg>a</svg>b</svg>b</svg>b</svg>b</svg>b</svg>c", "a</svg>b</noscript>c", "a<noscript>b", "a<svg>b</noscript>c",
+        "<noscript><p>b<svg>"])
+    assert [got[i].text.replace("\n", "") for i in range(8)] == ["c", "c", "cd", "c", "abc", "a", "ac", ""]
+
+
+def test_linked_data_stands_outside_comments(spark):
+    ld = '<script {}>{{"@type":"Event","url":"https://a.example.com/e","startDate":"{}"}}</script>'
+    kind = 'type="application/ld+json"'
+    page = (
+        f"<!-- {ld.format(kind, '2024-01-01')} --><style>{ld.format(kind, '2024-01-02').replace('/script', '/scrip')}</style>"
+        f"<script>var a = '<!--';</script>{ld.format(kind, '2024-01-03')}<script>--></script>"
+        f"<noscript>{ld.format('TYPE = Application/LD+JSON id=x', '2024-01-04')}</noscript>{ld.format('data-type=a/ld+json', '2024-01-05')}<!-- "
+        + ld.format(kind, "2024-01-06"))
+    assert [e.start for e in texts_of(spark, [page])[0].ld_events] == ["2024-01-03", "2024-01-04"]
