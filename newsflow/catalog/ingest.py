@@ -195,7 +195,7 @@ QUERIES: dict[str, Query] = {
     "page_denoise": lambda s, d: dt.table(s, d, "documents").select("doc_id", x.denoise_lines(F.col("text")).alias("text")),
     "page_reflow": lambda s, d: x.reflow(dt.table(s, d, "conversations"), "text").select("conv_id", "turn", "title", "body"),
     "page_title_backfill": _backfill,
-    "page_adequacy": lambda s, d: x.fetch_adequacy(dt.pages(s, d), _scan(s, d)),
+    "page_adequacy": lambda s, d: x.fetch_adequacy(scan_pages(dt.pages(s, d), x.JS_SIGNALS)),
     "page_links": _links,
     "page_select_links": _select,
     "page_listing_date": _listing,
@@ -224,7 +224,46 @@ c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(re
 ok AS (SELECT *, length(h) >= 8 AND NOT regexp_matches(lower(h), '^https?://|^www\.|\bhttps?\b|\bwww\b|\b[a-z0-9-]+\.(com|net|org|co|uk|de|fr|io|fm)\b') AS hok,
   length(t) >= 8 AND NOT regexp_matches(lower(t), '^https?://|^www\.|\bhttps?\b|\bwww\b|\b[a-z0-9-]+\.(com|net|org|co|uk|de|fr|io|fm)\b') AS tok FROM c)"""
 
+# the visible part of a page and, as a function of markup, its text with line ends around blocks
+VISIBLE = r"""
+bare AS (SELECT page_id::VARCHAR AS page_id, url, lower(html) AS low, regexp_replace(regexp_replace(regexp_replace(replace(replace(html,
+  '&copy;', '©'), '&middot;', '·'), '(?is)<!--.*?-->', '', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'),
+  '(?s)<[A-Za-z/!?][^>]*$', '') AS v FROM pages),
+visible AS (SELECT page_id, url, low, regexp_replace(v, '>\s+<', '><', 'g') AS v FROM bare)"""
+
+
+def _decoded(e: str) -> str:
+    return f"replace(replace(replace(replace({e}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+def _plain(e: str) -> str:
+    lines = f"regexp_replace({e}, '(?i)</?(?:article|br|div|h1|h2|h3|h4|li|main|p|section)(?:[\\s/][^>]*)?>', chr(10), 'g')"
+    return _decoded(f"regexp_replace({lines}, '</?[A-Za-z!?][^>]*>', '', 'g')")
+
+
+PAGE_TEXT = f"trim(regexp_replace(regexp_replace({_plain('v')}, '[ \\t]+', ' ', 'g'), '\\n\\s*\\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+
+# the day that the made pages of documents state
+RICH = """
+rich AS (SELECT doc_id AS d, lpad(doc_id::VARCHAR, 12, '0') AS page_id, 'https://' || source || '.example.com' AS root, DATE '2024-01-01' + (doc_id % 45)::INT AS day FROM documents)"""
+
 ORACLE: dict[str, str] = {
+    "page_photo": "WITH " + RICH.strip() + """
+SELECT page_id, CASE WHEN d % 4 = 0 THEN root || '/media/' || d || '.jpg' WHEN d % 5 = 0 THEN 'https://ld.example.com/' || d || '.jpg' ELSE root || '/c.jpg' END AS photo_url FROM rich""",
+    "page_published": "WITH " + RICH.strip() + """
+SELECT page_id, CASE WHEN d % 5 = 0 THEN day + INTERVAL 9 HOUR WHEN d % 6 = 1 THEN day + INTERVAL 8 HOUR ELSE day + INTERVAL 1 HOUR END AS published_at FROM rich""",
+    "page_adequacy": "WITH " + VISIBLE.strip() + f""",
+t AS (SELECT page_id, low, length({PAGE_TEXT}) AS n FROM visible)
+SELECT page_id, n AS n_chars, CASE WHEN n < {x.PLAIN_MIN} THEN 'too_short' WHEN n < {x.JS_MIN} AND ({" OR ".join(f"contains(low, '{w}')" for w in x.JS_SIGNALS)})
+  THEN 'needs_script' ELSE 'ok' END AS adequacy FROM t""",
+    "page_links": "WITH " + VISIBLE.strip() + f""",
+parts AS (SELECT page_id, url, string_split(v, '</a>') AS p FROM visible),
+one AS (SELECT page_id, url, p, unnest(range(1, len(p))) AS i FROM parts),
+met AS (SELECT page_id, url, i, regexp_extract(p[i], '(?s)^.*<a\\s([^>]*)>(.*)$', ['a', 'inner']) AS m, {_plain("array_to_string(p[1:i], '')")} AS before FROM one),
+link AS (SELECT page_id, url, i, {_decoded("regexp_extract(m.a, 'href=\"([^\"]*)\"', 1)")} AS href, trim({_decoded("m.inner")}, ' ' || chr(10)) AS text,
+  list_filter(regexp_split_to_array(before, '\\s+'), lambda w: w <> '') AS words FROM met WHERE m.a <> '')
+SELECT page_id, url AS page_url, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, href, regexp_extract(url, '^https?://[^/]+', 0) || href AS absolute, text,
+  NULL AS title, array_to_string(words[greatest(len(words) - 19, 1):], ' ') AS context, NULL AS structured_date FROM link""",
     "ingest_insert_if_absent": "WITH " + FEED_SQL.strip() + ("""
 SELECT url, arg_min(source, pos) AS source, min(pos) AS pos FROM feed WHERE url <> '' AND url NOT IN (SELECT url FROM stored) GROUP BY url"""),
     "ingest_outcomes": "WITH " + FEED_SQL.strip() + (""",

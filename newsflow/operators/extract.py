@@ -269,17 +269,12 @@ def page_published(scanned: DataFrame) -> DataFrame:
     return scanned.select("page_id", F.get(F.filter(stamped, lambda at: at.isNotNull()), F.lit(0)).alias("published_at"))
 
 
-def fetch_adequacy(pages: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(page_id, n_chars, adequacy): ok, too_short or needs_script."""
-    low = F.lower("html")
-    signal = F.lit(False)
-    for s in JS_SIGNALS:
-        signal = signal | F.contains(low, F.lit(s))
-    signals = pages.select(F.col("page_id").cast("string").alias("page_id"), signal.alias("_js"))
+def fetch_adequacy(scanned: DataFrame) -> DataFrame:
+    """(page_id, n_chars, adequacy) of pages scanned for ``JS_SIGNALS``: ok, too_short or needs_script."""
     n = F.length("text")
-    return scanned.select("page_id", "text").join(signals, "page_id").select(
+    return scanned.select(
         "page_id", n.alias("n_chars"),
-        F.when(n < PLAIN_MIN, "too_short").when(F.col("_js") & (n < JS_MIN), "needs_script").otherwise("ok").alias("adequacy"),
+        F.when(n < PLAIN_MIN, "too_short").when(F.col("signalled") & (n < JS_MIN), "needs_script").otherwise("ok").alias("adequacy"),
     )
 
 
