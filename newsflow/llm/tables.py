@@ -43,8 +43,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back."""
     path = f"{shared_folder(df.sparkSession)}/{name.replace(' ', '_')}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Removes what ``stored`` wrote for these, once nothing that is still to be computed reads it."""
+    for df in frames:
+        _remove(df.sparkSession, df.stored_at)
+
+
+def discard(spark: SparkSession, kept: DataFrame) -> None:
+    """Removes all that ``stored`` wrote in this process and ``kept`` doesn't read."""
+    read_by = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in kept.inputFiles()}
+    for path in list(_STORED):
+        if path.rsplit("/", 1)[-1] not in read_by:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _STORED:
+        _STORED.remove(path)

@@ -44,6 +44,21 @@ def test_near_classes_of_a_large_group(spark):
     assert got == class_ids(op6_neardup.classes(docs.repartition(13)).collect())
 
 
+def test_near_classes_of_versions_around_hubs(spark):
+    """Versions drift away from a text with many near copies: some are similar to versions alone."""
+    rng = random.Random(9)
+    rows = []
+    for hub in range(40):
+        base = prose(rng, 150)
+        rows += [(100 * hub + i, edited(rng, base, 1)) for i in range(8)]
+        version = base
+        for i in range(6):
+            version = edited(rng, version, 2)
+            rows.append((100 * hub + 10 + i, version))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert class_ids(op6_neardup.classes(docs).collect()) == brute.near_classes(dict(rows))
+
+
 def test_near_classes_of_odd_rows(odd):
     got = op6_neardup.classes(odd).collect()
     assert len(got) == odd.count()
