@@ -56,10 +56,12 @@ NOISE_NAMES = frozenset(
     "header login masthead menu modal nav navbar navigation newsletter notice notification overlay pagination popup promo "
     "promotion related respond share sharing sidebar signup social sponsor sponsored subscribe subscription widget".split())
 
+# every choice takes what it repeats for good, so a page is read once, whatever its markup; a quote counts behind "=" alone
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile(r"[a-z0-9]+")
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)|([^<]++|<)", re.S)
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
+_ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+_NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _CLOSED = re.compile(r"(?<![^\s\"'])/\s*\Z|(?:^|[\s\"'])[^\s=\"']+/\s*\Z")  # not the end of a bare value
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -86,9 +88,9 @@ def _is_noise(tag: str, attr: dict[str, str], in_main: bool) -> bool:
         return True
     if tag in ("html", "body"):
         return False
-    # a name is known by its first part: "ad-top" is noise, "has-sidebar" and "entry-header" are not
-    names = map(_NAME.search, (attr.get("class", "") + " " + attr.get("id", "")).split())
-    return any(m and m[0] in NOISE_NAMES for m in names)
+    # "ad-top" is noise, "has-sidebar" and "entry-header" are not; inside an article "ad-2" and "share-widget" are, "related-work" is not
+    names = [_NAME.findall(x) for x in (attr.get("class", "") + " " + attr.get("id", "")).split()]
+    return any(x and all(y in NOISE_NAMES for y in (x if in_main else x[:1])) for x in names)
 
 
 def _fold(h: int, x: int) -> int:
@@ -105,16 +107,17 @@ class Tree:
         self.size = self.linked = 0
         self.links = 0
         self.silent: list[tuple[str, int]] = []  # open elements without text of the page, and the blocks open around them
+        self.open: Counter = Counter()  # how many blocks and silent elements of each tag are open
         self.inside: Counter = Counter()  # nodes of the open main part
         self.blocks: list[tuple[bool, bool, str]] = []  # (in the main part, of low importance, text)
 
     def feed(self, page: str) -> Tree:
-        at, low = 0, None
+        at = 0
         while m := _TOKEN.match(page, at):
             at = m.end()
             if m[4] is not None:
                 if self.silent and self.silent[-1][0] == "head" and not m[4].isspace():
-                    self.silent.pop()
+                    self._speak()
                 if not self.silent:
                     self.text.append(m[4])
                     if self.links:
@@ -128,9 +131,8 @@ class Tree:
                 continue
             self._start(tag, m[3])
             if tag in RAW and not _CLOSED.search(m[3]):
-                low = page.lower() if low is None else low
-                end = low.find(f"</{tag}", at)
-                at = len(page) if end < 0 else end
+                end = _RAW_END[tag].search(page, at)
+                at = end.start() if end else len(page)
         while len(self.stack) > 1:
             self._pop()
         self._flush()
@@ -139,10 +141,11 @@ class Tree:
     def _start(self, tag: str, rest: str) -> None:
         top = self.silent[-1][0] if self.silent else ""
         if top == "head" and tag not in IN_HEAD or top == tag and tag in ("button", "option"):
-            self.silent.pop()
+            self._speak()
         if tag in SILENT or tag in RAW:
             if not _CLOSED.search(rest):
                 self.silent.append((tag, len(self.stack)))
+                self.open[tag] += 1
         elif tag == "a":
             self.links += 1
         elif tag == "br":
@@ -158,6 +161,7 @@ class Tree:
             main = up.main or tag in ("article", "main")
             noise = up.noise or _is_noise(tag, attr, up.main)
             self.stack.append(_Node(tag, path, noise, main, up.low or (path in self.removed and not (main and tag == "h1"))))
+            self.open[tag] += 1
 
     def _close_implied(self, tag: str) -> None:
         if self.silent and len(self.stack) <= self.silent[-1][1]:  # a button is no part of the paragraph around it
@@ -170,20 +174,24 @@ class Tree:
             if tag == "tr" and self.stack[-1].tag == "tr":
                 self._pop()
 
+    def _speak(self) -> None:
+        """The innermost silent element ends."""
+        self.open[self.silent.pop()[0]] -= 1
+
     def _end(self, tag: str) -> None:
         if tag in SILENT or tag in RAW:
-            if any(t == tag for t, _ in self.silent):
+            if self.open[tag]:
                 while self.silent[-1][0] != tag:
-                    self.silent.pop()
+                    self._speak()
                 depth = self.silent[-1][1]
                 while len(self.stack) > depth:
                     self._pop()
-                self.silent.pop()
+                self._speak()
         elif tag == "a":
             self.links = max(0, self.links - 1)
         elif tag in BLOCKS:
             self._flush()
-            if any(n.tag == tag for n in self.stack):
+            if self.open[tag]:
                 while self.stack[-1].tag != tag:
                     self._pop()
                 self._pop()
@@ -191,8 +199,9 @@ class Tree:
     def _pop(self) -> None:
         self._flush()
         n = self.stack.pop()
+        self.open[n.tag] -= 1
         while self.silent and self.silent[-1][1] > len(self.stack):  # its end is missing
-            self.silent.pop()
+            self._speak()
         up = self.stack[-1]
         up.children = _fold(up.children, n.path)
         up.content = _fold(up.content, n.content)

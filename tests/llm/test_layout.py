@@ -1,6 +1,7 @@
 """Sharding, chat, packing and page text: exact laws and round trips."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -257,3 +258,28 @@ def test_style_tree_decides_inside_articles(spark):
     assert all(got[i] == f"Head {i}\nText {i} of {i * i}{more}" for i in range(8))
     assert all(got[100 + i] == f"Copy\nOne article on many pages{more}" for i in range(200))
     assert all(got[300 + i] == f"One\nOne article{more}\n{i} views" for i in range(50))
+
+
+@pytest.mark.parametrize("name", ["related-work", "notice-of-meeting", "login-guide", "share-of-votes", "commentary", "promotion-rules"])
+def test_names_that_only_begin_like_noise_stay_in_an_article(name):
+    page = f"<article><p>a</p><div class='{name}'><p>b</p></div><section id={name}>c</section></article>"
+    assert op10_html.Tree().feed(page).main_text() == "a\nb\nc"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-2", "share-widget", "x Related", "cookie-banner"])
+def test_names_of_noise_go(name):
+    assert op10_html.Tree().feed(f"<article><p>a</p><div class='{name}'>b</div></article>").main_text() == "a"
+
+
+def test_a_letter_that_grows_in_lower_case():
+    page = f"<p>{'İ' * 12}</p><script>x</SCRIPT><p>b</p><title>t</TITLE ><p>c</p>d"
+    assert op10_html.Tree().feed(page).main_text() == "İ" * 12 + "\nb\nc\nd"
+
+
+@pytest.mark.parametrize("page", [
+    "<p>a</p>" + "<a " * 300_000 + "'", "<p>a</p>" + "<div>" * 20_000 + "</section>" * 20_000, "<p>a</p>" + '<a x="' * 150_000, "<p>a</p>" + "<!-- " * 200_000,
+    "<p>a</p>" + "<svg>" * 20_000 + "</object>" * 20_000, "<p>a</p><b " + "x" * 1_000_000, "<p>a</p>" + "<script>" * 100_000, "<p>a</p>" + "<b q='" * 100_000])
+def test_odd_markup_is_read_in_one_pass(page):
+    start = time.perf_counter()
+    assert op10_html.Tree().feed(page).main_text() == "a"
+    assert time.perf_counter() - start < 20
