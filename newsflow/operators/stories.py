@@ -7,6 +7,8 @@ the articles' texts, dates or sources then works on the row itself, without a sh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +21,6 @@ from newsflow.functions.text import (
 )
 from newsflow.operators.components import components
 from newsflow.operators.entities import contains_join, has_topic_evidence
-from newsflow.operators.merging import merge_component
 
 # --- fixed values: scores, caps and word lists of the grouping rules ---
 ENTITY_CAP = 15
@@ -53,10 +54,6 @@ CUT_SHORT = (
 QUOTES = "‘’“”\"'`"
 # --- end of fixed values ---
 
-# largest component merged inside one task; beyond it the merge runs by joins
-LOCAL_BOUND = 2000
-
-
 def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
@@ -598,15 +595,22 @@ def _scored(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     return pairs.join(trial.select("left_id", "right_id"), ["left_id", "right_id"], "left_semi")
 
 
-def merge_groups(groups: DataFrame, local_bound: int = LOCAL_BOUND) -> DataFrame:
-    """Greedy merge: the best pair of groups merges, until no pair is left.
+def _rivals(pairs: DataFrame) -> DataFrame:
+    """The pairs that no other pair of one of their groups comes before: each is the best of both."""
+    order = F.struct((-F.col("score")).alias("s"), "left_pos", "left_id", "right_pos", "right_id")
+    best = pairs.select(F.explode(F.array("left_id", "right_id")).alias("g"), order.alias("o")).groupBy("g").agg(F.min("o").alias("o"))
+    side = lambda n: best.select(F.col("g").alias(f"{n}_id"), F.col("o").alias(f"_{n}"))
+    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    return both.where((F.col("_left") == order) & (F.col("_right") == order)).drop("_left", "_right")
 
-    Merging needs an entity or a phrase in common, and a merged group has no entity and no
-    phrase its parts lack; so the components over those keys never interact.  Components
-    of up to ``local_bound`` groups are merged each in one task; larger ones, however
-    large, are merged by joins, one merge per component and round.
-    ``groups``: run_id, group_id, pos (order in the run) and the columns of a group with
-    members.  The result carries ``merged_from``, the ids of its parts.
+
+def merge_groups(groups: DataFrame) -> DataFrame:
+    """Merge until no pair of groups is mergeable; in every round all mutually best pairs merge at once.
+
+    Pairs are ordered by score, then by the positions of their groups.  A pair that comes before every other pair
+    of its two groups merges; these pairs share no group.  The position of a merged group lies behind all of earlier
+    rounds, in the order of first parts.  Only new groups are compared again.  ``groups``: run_id, group_id, pos (order in the run, below
+    2^44) and the columns of a group with members.  The result carries ``merged_from``, the ids of its parts.
     """
     empty = F.array().cast("array<string>")
     g = groups.select(
@@ -616,104 +620,32 @@ def merge_groups(groups: DataFrame, local_bound: int = LOCAL_BOUND) -> DataFrame
         F.coalesce("cohesion_score", F.lit(0)).cast("int").alias("cohesion_score"), "members",
         F.array("group_id").alias("merged_from"),
     )
-    g = cut(g)
-    keys = F.array_distinct(F.concat(
-        F.transform(_entity_keys(F.col("common_entities")), lambda e: F.concat(F.lit("e\u0001"), e)),
-        F.transform(F.filter(all_terms(F.col("keywords"), F.col("topic")), lambda t: F.contains(t, F.lit(" "))),
-                    lambda t: F.concat(F.lit("p\u0001"), t)),
-    ))
-    by_key = g.select("group_id", F.explode(F.transform(keys, lambda k: F.concat("run_id", F.lit("\u0001"), k))).alias("k"))
-    # a key that one group alone has links nothing
-    shared = by_key.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    by_key = salted_join(by_key, shared, ["k"], ["group_id"], how="left_semi")
-    comp = components(by_key.select(F.col("k").alias("a"), F.concat(F.lit("\u0002"), "group_id").alias("b")))
-    comp = comp.where(F.col("id").startswith("\u0002")).select(
-        F.expr("substr(id, 2)").alias("group_id"), "component"
-    )
-    sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
-    comp = cut(salted_join(comp, sizes, ["component"], ["group_id"]))
-    done = g.join(comp, "group_id", "left_anti").select(*_GROUP_COLS)
-    small = g.join(comp.where(F.col("size") <= local_bound).select("group_id", "component"), "group_id")
-    large = g.join(comp.where(F.col("size") > local_bound).select("group_id", "component"), "group_id")
-    out = done.unionByName(_merge_local(small))
-    if not comp.where(F.col("size") > local_bound).isEmpty():
-        out = out.unionByName(_merge_rounds(large))
-    return out
-
-
-def _merge_local(groups: DataFrame) -> DataFrame:
-    """Merge each (bounded) component in one task."""
-    phrase = F.transform("keywords", lambda k: F.struct(strip(k).alias("k"), F.lower(strip(k)).alias("low"), story_term(k).alias("phrase")))
-    ents = F.transform(
-        "common_entities",
-        lambda e: F.struct(e.alias("e"), F.lower(strip(e)).alias("low"), normalize_text(e).alias("norm"), is_category(e).alias("cat")),
-    )
-    staged = groups.select("*", all_terms(F.col("keywords"), F.col("topic")).alias("_phrases"))
-    tokens = F.flatten(F.transform("_phrases", lambda p: F.split(p, " ")))
-    series = F.filter(F.array_distinct(F.concat("_phrases", tokens)), is_source_or_series)
-    topics = F.filter(F.transform(quoted_parts(F.col("topic")), story_term), lambda t: F.length(t) >= 3)
-    members = F.transform(
-        "members",
-        lambda m: F.struct(
-            m["id"].alias("id"), m["text"].alias("text"), m["story"].alias("story"), m["source"].alias("source"),
-            m["event_date"].cast("string").alias("date"), F.unix_micros(m["published_at"]).alias("at"),
-        ),
-    )
-    packed = staged.select(
-        "component", "group_id", "pos", "topic", "reason", "article_ids", "cohesion_score",
-        phrase.alias("kw"), ents.alias("ents"), series.alias("series"), topics.alias("topic_terms"),
-        members.alias("facts"),
-    )
-    plan = packed.groupBy("component").applyInPandas(
-        merge_component,
-        "parts array<string>, topic string, reason string, keywords array<string>, article_ids array<string>, "
-        "common_entities array<string>, cohesion_score int",
-    )
-    # the members of a merged group come from its parts
-    parts = plan.select("*", F.col("parts")[0].alias("group_id"), F.explode("parts").alias("_part"))
-    own = groups.select(F.col("group_id").alias("_part"), "run_id", "pos", F.col("members").alias("_m"))
-    joined = parts.join(own, "_part").groupBy("group_id").agg(
-        F.first("run_id").alias("run_id"), F.max("pos").alias("pos"), F.first("topic").alias("topic"),
-        F.first("keywords").alias("keywords"), F.first("article_ids").alias("article_ids"),
-        F.first("reason").alias("reason"), F.first("common_entities").alias("common_entities"),
-        F.first("cohesion_score").alias("cohesion_score"), F.flatten(F.collect_list("_m")).alias("_all"),
-        F.first("parts").alias("merged_from"),
-    )
-    return joined.withColumn("group_id", F.array_join("merged_from", "+")).withColumn(
-        "members",
-        F.filter(F.transform("article_ids", lambda a: F.filter("_all", lambda m: m["id"] == a)[0]), lambda m: m.isNotNull()),
-    ).select(*_GROUP_COLS)
-
-
-def _merge_rounds(active: DataFrame) -> DataFrame:
-    """Merge large components by joins; only new groups are compared again."""
-    active = cut(_blocked(active))
-    pairs = _score_pairs(active, active)
-    pairs = cut(_scored(pairs, active).join(active.select(F.col("group_id").alias("left_id"), "component"), "left_id"))
-    base = 1 << 40
-    step = 0
+    active = cut(_blocked(g).withColumn("first_pos", F.col("pos")))
+    pairs = cut(_scored(_score_pairs(active, active), active))
+    done, step = [], 0
     while True:
-        best = pairs.groupBy("component").agg(
-            F.min_by(F.struct("left_id", "right_id"), F.struct(-F.col("score"), "left_pos", "left_id", "right_pos", "right_id")).alias("p")
-        ).select("component", "p.left_id", "p.right_id")
-        best = cut(best.withColumn("new_pos", F.lit(base + step)))
+        best = cut(_rivals(pairs))
         if best.isEmpty():
-            return active.select(*_GROUP_COLS)
+            return reduce(DataFrame.unionByName, done, active.select(*_GROUP_COLS))
         step += 1
-        new = _merged(best, active).join(best.select("left_id", "component"), "left_id")
-        new = cut(_blocked(new.select(*_GROUP_COLS, "component")))
+        firsts = active.select(F.col("group_id").alias("g"), "first_pos")
+        new_pos = F.lit(step * (1 << 44)) + F.col("first_pos")
+        best = (
+            best.join(firsts.select(F.col("g").alias("left_id"), F.col("first_pos").alias("_l")), "left_id")
+            .join(firsts.select(F.col("g").alias("right_id"), F.col("first_pos").alias("_r")), "right_id")
+            .withColumn("first_pos", F.least("_l", "_r")).drop("_l", "_r").withColumn("new_pos", new_pos))
+        new = _blocked(_merged(best, active).withColumn("first_pos", F.col("pos") - step * (1 << 44)).select(*_GROUP_COLS, "first_pos"))
+        new = cut(new)
         used = best.select(F.explode(F.array("left_id", "right_id")).alias("group_id"))
         rest = active.join(used, "group_id", "left_anti")
-        peers = cut(rest.join(new.select("component"), "component", "left_semi"))
-        fresh = _score_pairs(new, peers).unionByName(
-            _score_pairs(peers, new)
-        ).distinct()
-        both = peers.unionByName(new, allowMissingColumns=True)
-        fresh = _scored(fresh, both).join(new.select(F.col("group_id").alias("right_id"), "component"), "right_id")
+        # a run with pairs has a mutually best one, so a run without a new group is done
+        open_runs = new.select("run_id").distinct()
+        done.append(cut(rest.join(open_runs, "run_id", "left_anti").select(*_GROUP_COLS)))
+        active = cut(rest.join(open_runs, "run_id", "left_semi").unionByName(new))
+        fresh = _score_pairs(new, active).unionByName(_score_pairs(active, new)).distinct()
         gone = used.select(F.col("group_id").alias("g"))
         kept = pairs.join(gone, pairs.left_id == gone.g, "left_anti").join(gone, F.col("right_id") == gone.g, "left_anti")
-        pairs = cut(kept.unionByName(fresh))
-        active = cut(rest.unionByName(new, allowMissingColumns=True))
+        pairs = cut(kept.unionByName(_scored(fresh, active).select(*kept.columns)))
 
 
 # --- ranking and known topics ---------------------------------------------------------

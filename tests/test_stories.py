@@ -1,5 +1,6 @@
 import random
 
+import plain_merge
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,13 +59,30 @@ def keys(df):
     return sorted(("+".join(r.merged_from), r.topic, tuple(r.keywords), tuple(r.article_ids), tuple(r.common_entities), r.cohesion_score) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed", [5])
-def test_merging_in_tasks_equals_merging_by_joins(spark, seed):
-    df = spark.createDataFrame(random_groups(seed), GROUP)
-    local = keys(st.merge_groups(df))
-    rounds = keys(st.merge_groups(df.repartition(3), local_bound=1))
-    assert local == rounds
-    assert sum(len(k[0].split("+")) for k in local) == 6
+def test_merging_equals_the_plain_merge(spark):
+    rows = []
+    for seed in range(12):
+        rows += [(f"{r[0]}-{seed}", f"{r[1]}-{seed}", *r[2:]) for r in random_groups(seed)]
+    df = spark.createDataFrame(rows, GROUP)
+    runs = plain_merge.prepared(df).values()
+    want = sorted(k for run in runs for k in plain_merge.keys(plain_merge.merge_in_rounds(run)))
+    assert keys(st.merge_groups(df)) == want and sum(len(k[0].split("+")) for k in want) == len(rows) > len(want)
+    assert keys(st.merge_groups(df.repartition(7))) == want
+
+
+def test_merging_at_once_equals_merging_one_by_one(spark):
+    """The same parts meet, where the order of merges decides nothing."""
+    rows = []
+    for seed in range(12):
+        rows += [(f"{r[0]}-{seed}", f"{r[1]}-{seed}", *r[2:]) for r in random_groups(seed)]
+    runs = plain_merge.prepared(spark.createDataFrame(rows, GROUP)).values()
+    parts = lambda merge: [sorted("+".join(sorted(g["parts"])) for g in merge([dict(g) for g in run])) for run in runs]
+    same = [a == b for a, b in zip(parts(plain_merge.merge_in_rounds), parts(plain_merge.merge_one_by_one), strict=True)]
+    assert sum(same) >= 0.9 * len(same)
+
+
+def test_no_groups(spark):
+    assert st.merge_groups(spark.createDataFrame([], GROUP)).count() == 0
 
 
 def test_merge_needs_a_common_story(spark):
