@@ -102,14 +102,12 @@ def _resolve(spark, sf_dir):
 
 def _cohort(spark, sf_dir):
     ra = _ra(spark, sf_dir)
-    return p.cohort_slice(ra, p.resolve_run(ra), LIMIT).select("id", "cohort_pos")
+    return p.cohort_slice(ra, p.pool_facts(ra), LIMIT).select("id", "cohort_pos")
 
 
 def _queues(spark, sf_dir):
     ra = _ra(spark, sf_dir)
-    run = p.resolve_run(ra)
-    left = F.lit(LIMIT) - p.cohort_slice(ra, run, LIMIT).agg(F.count("*")).scalar()
-    return p.fair_queues(ra, run, left, LIMIT)
+    return p.fair_queues(ra, p.pool_facts(ra), LIMIT)
 
 
 def _hydrate(spark, sf_dir):
@@ -132,14 +130,12 @@ def audit_inputs(spark, sf_dir):
     """Candidates, cohort of the newest run, newest ids per origin, ids seen before."""
     ra = _ra(spark, sf_dir)
     cand = ra.where(p.is_eligible())
-    run = p.resolve_run(ra)
-    cohort = cand.where(F.col("ingestion_run_id") == run.select("run_id").scalar()).select("id")
-    newest = None
-    for o in ("rss", "correspondent"):
-        ids = cand.where(
-            (F.col("origin") == o) & (F.col("ingestion_run_id") == p.latest_run(ra, o).scalar())
-        ).select("id")
-        newest = ids if newest is None else newest.unionByName(ids)
+    facts = p.pool_facts(ra).select(F.struct("run_id", "rss", "correspondent")).scalar()
+    known = cand.select("id", "origin", "ingestion_run_id", facts.alias("f"))
+    cohort = known.where(F.col("ingestion_run_id") == F.col("f.run_id")).select("id")
+    newest = known.where(
+        F.col("ingestion_run_id") == F.when(F.col("origin") == "rss", F.col("f.rss")).when(F.col("origin") == "correspondent", F.col("f.correspondent"))
+    ).select("id")
     seen = cand.where("suggestion_last_checked_at IS NOT NULL").select("id")
     return cand, cohort, newest, seen
 

@@ -38,9 +38,6 @@ UNMATCHED_RATIO = 0.6
 BATCH = 20
 # --- end of fixed values ---
 
-# a surface row is a few hundred bytes, so this bounds the broadcast to tens of megabytes
-BROADCAST_ROWS = 100_000
-
 _PLAIN_GAP = rf"[{SP},.:;()'\"\[\]\-–—]"
 _THE = r"(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])"
 
@@ -60,8 +57,13 @@ def add_block_key(surfaces: DataFrame) -> DataFrame:
     return surfaces.withColumn("block_key", block_key(F.col("surface")))
 
 
-def hay_keys(hay: Column) -> Column:
-    """Every key a surface in ``hay`` could have."""
+def word_keys(hay: Column) -> Column:
+    """Every key that a surface with an ASCII word could have in ``hay``."""
+    return F.array_distinct(ascii_runs(hay))
+
+
+def gram_keys(hay: Column) -> Column:
+    """Every key that a surface without one could have."""
     others = F.regexp_extract_all(hay, F.lit(f"[^a-z0-9{SP}]+"), F.lit(0))
     grams = F.flatten(
         F.transform(
@@ -72,7 +74,12 @@ def hay_keys(hay: Column) -> Column:
         )
     )
     singles = F.transform(grams, lambda g: F.substring(g, 1, 1))
-    return F.array_distinct(F.concat(ascii_runs(hay), grams, singles))
+    return F.array_distinct(F.concat(grams, singles))
+
+
+def hay_keys(hay: Column) -> Column:
+    """Every key a surface in ``hay`` could have."""
+    return F.array_union(word_keys(hay), gram_keys(hay))
 
 
 def _bounded(pattern: Column) -> Column:
@@ -116,19 +123,16 @@ def context_found(
 def _candidates(hay: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Rows of ``hay`` (id, hay) with every surface whose key occurs in it.
 
-    The dictionary is counted first.  Up to ``BROADCAST_ROWS`` surfaces are broadcast and
-    the articles are never shuffled; a larger dictionary is joined by key, with common
-    words spread over tasks by article.
+    Postings (id, key) meet the dictionary without the text, which only joins the surfaces found, by id.  One plan for
+    every size: Spark's own size check decides whether the dictionary is broadcast, and AQE splits the postings of a
+    common word.  Where the dictionary has no surface without a word, AQE drops the second join unread.
     """
-    size = surfaces.agg(
-        F.count("*").alias("n"), F.count_if(~F.col("block_key").rlike("^[a-z0-9]+$")).alias("wordless")
-    ).first()
-    all_keys = hay_keys(F.col("hay")) if size["wordless"] else F.array_distinct(ascii_runs(F.col("hay")))
-    keys = hay.select("id", "hay", F.explode(all_keys).alias("block_key"))
-    if size["n"] <= BROADCAST_ROWS:
-        return keys.join(F.broadcast(surfaces), "block_key")
-    # the exploded words must not be taken for a small side, so the join is a merge
-    return salted_join(keys.hint("merge"), surfaces, ["block_key"], ["id"])
+    word = F.col("block_key").rlike("^[a-z0-9]+$")
+    met = None
+    for keys, part in ((word_keys, surfaces.where(word)), (gram_keys, surfaces.where(~word))):
+        one = hay.select("id", F.explode(keys(F.col("hay"))).alias("block_key")).join(part, "block_key")
+        met = one if met is None else met.unionByName(one)
+    return met.join(hay.select("id", "hay"), "id")
 
 
 def match_strong(hay: DataFrame, surfaces: DataFrame) -> DataFrame:

@@ -88,37 +88,34 @@ def pool_legacy(ra: DataFrame, n: int) -> DataFrame:
     return top_rows(ra.where(is_eligible()).select(*META), order, n, "pool_pos")
 
 
-def resolve_run(ra: DataFrame, preferred: str | None = None) -> DataFrame:
-    """One row: the run to favour, and whether the preferred one was unusable.
+def _newest_run(when: Column) -> Column:
+    """Run of the newest row that ``when`` holds for."""
+    order = F.struct(-F.unix_micros("fetched_at"), F.col("id"))
+    has_run = when & F.col("ingestion_run_id").isNotNull()
+    return F.min_by("ingestion_run_id", F.when(has_run, order))
+
+
+def pool_facts(ra: DataFrame, preferred: str | None = None) -> DataFrame:
+    """One row, from one pass: run_id to favour, invalid_preferred, and the newest runs ``rss`` and ``correspondent``.
 
     A preferred run counts when it is a well-formed id that still has eligible rows.
     """
     pref = F.lit(preferred).cast("string")
-    newest = F.min_by(
-        "ingestion_run_id", F.struct(-F.unix_micros("fetched_at"), F.col("id"))
-    )
     usable = F.coalesce(
         F.bool_or((F.col("ingestion_run_id") == pref) & pref.rlike(RUN_ID)), F.lit(False)
     )
-    return (
-        ra.where(is_eligible() & F.col("ingestion_run_id").isNotNull())
-        .agg(newest.alias("_newest"), usable.alias("_usable"))
-        .select(
-            F.when(F.col("_usable"), pref).otherwise(F.col("_newest")).alias("run_id"),
-            (~F.col("_usable") & F.lit(bool(preferred))).alias("invalid_preferred"),
-        )
+    return ra.where(is_eligible()).agg(
+        _newest_run(F.lit(True)).alias("_newest"), usable.alias("_usable"),
+        *[_newest_run(F.col("origin") == o).alias(o) for o in ("rss", "correspondent")],
+    ).select(
+        F.when(F.col("_usable"), pref).otherwise(F.col("_newest")).alias("run_id"),
+        (~F.col("_usable") & F.lit(bool(preferred))).alias("invalid_preferred"), "rss", "correspondent",
     )
 
 
-def latest_run(ra: DataFrame, origin: str) -> DataFrame:
-    """One row: the run of the newest eligible row of an origin."""
-    return ra.where(
-        is_eligible() & (F.col("origin") == origin) & F.col("ingestion_run_id").isNotNull()
-    ).agg(
-        F.min_by(
-            "ingestion_run_id", F.struct(-F.unix_micros("fetched_at"), F.col("id"))
-        ).alias("run_id")
-    )
+def resolve_run(ra: DataFrame, preferred: str | None = None) -> DataFrame:
+    """One row: the run to favour, and whether the preferred one was unusable."""
+    return pool_facts(ra, preferred).select("run_id", "invalid_preferred")
 
 
 def source_round_robin(
@@ -159,62 +156,58 @@ def source_round_robin(
     return out.drop("_src", "_chk", "_turn", "_h0", "_h1", "_h2", "_h3")
 
 
-def cohort_slice(ra: DataFrame, run: DataFrame, limit: int) -> DataFrame:
-    """The favoured run's share of the pool, sources taking turns."""
-    entitlement = math.ceil(limit * COHORT_RATIO)
-    rows = ra.where(is_eligible()).where(
-        F.col("ingestion_run_id") == run.select("run_id").scalar()
-    )
-    fetched = rows.select(*META).orderBy(*pool_order()).limit(
-        max(entitlement, entitlement * OVERFETCH)
-    )
-    return source_round_robin(fetched, keep=entitlement, rank="cohort_pos")
+COHORT = -1  # the lane of the favoured run; the fair queues are lanes 0 to 9
 
 
-def queue_number(latest: dict[str, Column], resolved: Column) -> Column:
-    """Index of the fair queue a row belongs to; null when it belongs to none."""
-    origin, run = queue_origin(), F.col("ingestion_run_id")
-    newest = F.when(origin == "rss", latest["rss"]).when(
-        origin == "correspondent", latest["correspondent"]
-    )
-    in_cohort = F.coalesce(run == newest, F.lit(False))
-    in_resolved = F.coalesce(run == resolved, F.lit(False))
-    undated = F.col("published_at").isNull()
-    out = F.lit(None).cast("int")
-    for i, (o, cohort, no_date, _) in reversed(list(enumerate(QUEUES))):
-        # rows of the resolved run are in no queue: the cohort slice serves them
-        match = (origin == o) & (undated == F.lit(no_date)) & ~in_resolved
-        match = match & (in_cohort if cohort else ~in_cohort)
-        out = F.when(match, F.lit(i)).otherwise(out)
-    return out
+def lane_of(facts: DataFrame) -> Column:
+    """Lane of a row: the favoured run's, or the fair queue it belongs to.
 
+    The facts are one scalar (per origin the favoured run, then the newest), read at one place of the expression.
+    """
+    none = F.lit(None).cast("string")
+    known = facts.select(F.map_from_arrays(
+        F.array(*[F.lit(o) for o in ("rss", "correspondent", "legacy")]),
+        F.array(F.array("run_id", "rss"), F.array("run_id", "correspondent"), F.array(F.col("run_id"), none)))).scalar()
+    place = F.coalesce(F.array_position(F.element_at(known, queue_origin()), F.col("ingestion_run_id")), F.lit(0))
+    # rows of the favoured run are in no queue: the cohort slice serves them
+    number = {
+        f"{o} {place} {str(no_date).lower()}": COHORT if place == 1 else i
+        for i, (o, cohort, no_date, _) in enumerate(QUEUES) for place in ((1, 2) if cohort else (1, 0))}
+    table = F.create_map(*[x for k, v in number.items() for x in (F.lit(k), F.lit(v))])
+    return F.element_at(table, F.concat_ws(" ", queue_origin(), place.cast("string"), F.col("published_at").isNull().cast("string")))
+
+
+def lanes(ra: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
+    """Rows that can be picked, with ``lane`` and position ``rn`` in it when its sources take turns.
+
+    Every lane is cut to a fixed bound before the shuffle and, once the favoured run's
+    share is known, to the places that are left; both cuts hold a few times ``limit`` rows.
+    """
+    share = math.ceil(limit * COHORT_RATIO)
+    rows = ra.where(is_eligible()).select(*META, lane_of(facts).alias("lane"))
+    per_lane = Window.partitionBy("lane").orderBy(*pool_order())
+    rows = rows.withColumn("_fetch", F.row_number().over(per_lane)).where(F.col("_fetch") <= max(MIN_QUEUE, limit * OVERFETCH))
+    in_run = F.count(F.when(F.col("lane") == COHORT, 1)).over(Window.partitionBy())
+    left = limit - F.least(in_run, F.lit(share))
+    bound = F.when(F.col("lane") == COHORT, share * OVERFETCH).otherwise(F.greatest(F.lit(MIN_QUEUE), left * OVERFETCH))
+    rows = rows.withColumn("_bound", bound).where(F.col("_fetch") <= F.col("_bound")).drop("_fetch", "_bound")
+    ranked = source_round_robin(rows, by=("lane",), rank="rn")
+    return ranked.where((F.col("lane") != COHORT) | (F.col("rn") <= share))
+
+
+def cohort_slice(ra: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
+    """The favoured run's share of the pool, sources taking turns."""
+    return lanes(ra, facts, limit).where(F.col("lane") == COHORT).drop("lane").withColumnRenamed("rn", "cohort_pos")
 
-def fair_queues(
-    ra: DataFrame, run: DataFrame, n: Column, max_n: int
-) -> DataFrame:
-    """Rows of the ten queues with ``queue``, ``weight`` and position ``rn`` in the queue.
 
-    ``n`` is the number of places left (a scalar), ``max_n`` its upper bound; the bound
-    lets Spark cut each queue before the shuffle, ``n`` makes the exact cut after it.
-    """
-    latest = {o: latest_run(ra, o).scalar() for o in ("rss", "correspondent")}
-    rows = (
-        ra.where(is_eligible())
-        .select(*META)
-        .withColumn("queue", queue_number(latest, run.select("run_id").scalar()))
-        .where(F.col("queue").isNotNull())
-    )
-    per_queue = Window.partitionBy("queue").orderBy(*pool_order())
-    rows = (
-        rows.withColumn("_fetch", F.row_number().over(per_queue))
-        .where(F.col("_fetch") <= max(MIN_QUEUE, max_n * OVERFETCH))
-        .where(F.col("_fetch") <= F.greatest(F.lit(MIN_QUEUE), n * OVERFETCH))
-        .drop("_fetch")
-    )
+def fair_queues(ra: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
+    """Rows of the ten queues with ``queue``, ``weight`` and position ``rn`` in the queue."""
+    return _weighted(lanes(ra, facts, limit).where(F.col("lane") != COHORT)).withColumnRenamed("lane", "queue")
+
+
+def _weighted(rows: DataFrame, lane: str = "lane") -> DataFrame:
     weights = F.array(*[F.lit(q[3]) for q in QUEUES])
-    return source_round_robin(rows, by=("queue",), rank="rn").withColumn(
-        "weight", F.element_at(weights, F.col("queue") + 1)
-    )
+    return rows.withColumn("weight", F.try_element_at(weights, F.col(lane) + 1))
 
 
 def weighted_round_robin(queues: DataFrame, limit: int, rank: str = "wrr") -> DataFrame:
@@ -237,17 +230,12 @@ def select_pool(
     """The pool: ids and metadata with ``pool_pos`` and ``part`` (cohort or remainder)."""
     if policy == "legacy_published_at":
         return pool_legacy(ra, limit).withColumn("part", F.lit("legacy"))
-    run = resolve_run(ra, preferred)
-    cohort = cohort_slice(ra, run, limit)
-    left = F.lit(limit) - cohort.agg(F.count("*")).scalar()
-    queues = fair_queues(ra, run, left, limit)
-    rest = weighted_round_robin(queues, limit)
-    both = cohort.select(
-        *META, F.lit("cohort").alias("part"), F.col("cohort_pos").alias("_p")
-    ).unionByName(
-        rest.select(*META, F.lit("remainder").alias("part"), F.col("wrr").alias("_p"))
-    )
-    return top_rows(both, [F.col("part").asc(), F.col("_p").asc()], limit, "pool_pos").drop("_p")
+    in_run = F.col("lane") == COHORT
+    rows = _weighted(lanes(ra, pool_facts(ra, preferred), limit))
+    turn = F.when(in_run, F.lit(0)).otherwise(F.floor((F.col("rn") - 1) / F.col("weight")))
+    order = [F.col("part").asc(), F.col("_turn").asc(), F.col("lane").asc(), F.col("rn").asc()]
+    rows = rows.withColumn("part", F.when(in_run, "cohort").otherwise("remainder")).withColumn("_turn", turn)
+    return top_rows(rows, order, limit, "pool_pos").select(*META, "part", "pool_pos")
 
 
 def pool_diagnostics(pool: DataFrame) -> DataFrame:
@@ -276,10 +264,9 @@ def pool_diagnostics(pool: DataFrame) -> DataFrame:
 def hydrate(pool: DataFrame, ra: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Wide columns for the chosen ids only.
 
-    ``pool`` is a selected pool, at most ``LIMIT_MAX`` rows, so its ids are broadcast.
+    Of a selected pool Spark knows that it holds few rows, and sends its ids to the articles.
     """
-    keys = pool.select("id", "pool_pos")
-    return ra.select(*(columns or WIDE)).join(F.broadcast(keys), "id")
+    return ra.select(*(columns or WIDE)).join(pool.select("id", "pool_pos"), "id")
 
 
 def completion(pool_ids: DataFrame, failed_ids: DataFrame, all_failed: bool) -> DataFrame:

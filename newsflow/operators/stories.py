@@ -640,7 +640,8 @@ def merge_groups(groups: DataFrame) -> DataFrame:
         rest = active.join(used, "group_id", "left_anti")
         # a run with pairs has a mutually best one, so a run without a new group is done
         open_runs = new.select("run_id").distinct()
-        done.append(cut(rest.join(open_runs, "run_id", "left_anti").select(*_GROUP_COLS)))
+        # the selection stands above the cut: a union of bare cuts trips over filters on columns it doesn't have
+        done.append(cut(rest.join(open_runs, "run_id", "left_anti")).select(*_GROUP_COLS))
         active = cut(rest.join(open_runs, "run_id", "left_semi").unionByName(new))
         fresh = _score_pairs(new, active).unionByName(_score_pairs(active, new)).distinct()
         gone = used.select(F.col("group_id").alias("g"))

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsflow.functions.lineage import cut
 from newsflow.operators import entities as ent
 from newsflow.operators import lifecycle, pool, stories
 
@@ -26,10 +27,13 @@ def suggest_input(
     ra: DataFrame, sources: DataFrame, surfaces: DataFrame, limit: int, preferred: str | None = None,
     policy: str = "cohort_fair_v1",
 ) -> SuggestInput:
-    """Pick the pool on narrow columns, read the wide ones for it, match, select, batch."""
-    chosen = pool.select_pool(ra, pool.clamp_limit(limit), preferred, policy)
-    wide = stories.attach_source(pool.hydrate(chosen, ra), sources)
-    index = ent.entity_index(wide, surfaces)
+    """Pick the pool on narrow columns, read the wide ones for it, match, select, batch.
+
+    The pool, its articles and their entities are a few hundred rows; each is computed once.
+    """
+    chosen = cut(pool.select_pool(ra, pool.clamp_limit(limit), preferred, policy))
+    wide = cut(stories.attach_source(pool.hydrate(chosen, ra), sources))
+    index = cut(ent.entity_index(wide, surfaces))
     rows = ent.select_quota(ent.partition_articles(wide, index), ["pool_pos"])
     return SuggestInput(chosen, index, rows, ent.assign_batches(rows.where("selected"), ["pool_pos"]))
 

@@ -34,11 +34,14 @@ TEXTS = ["The Prodigy return", "theprodigy", "new prodigy band!", "사망DJ 소
          "better days", "Better remix out", "better, the remix", "better xx remix", "bandcamp Friday", "go !!! live", "DJ the better one", "DJ, better"]
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_matches_equal_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(e, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_matches_equal_brute_force(spark, limit):
+    """The same with a dictionary that Spark broadcasts and one that it shuffles."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     ra = spark.createDataFrame([(str(i), t, "") for i, t in enumerate(TEXTS)], "id string, title string, content string")
     got = {(r.id, r.canonical) for r in e.entity_index(ra, surfaces(spark, DICT, POLICY)).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     strong = {"Bandcamp": ["bandcamp"], "The Prodigy": ["the prodigy", "prodigy band"], "사이키": ["사이키", "사이키델릭"], "DJ": ["dj"], "!!!": ["!!!"]}
     want = {(str(i), c) for i, t in enumerate(TEXTS) for c, ss in strong.items() if any(brute(t.lower() + "\n", s) for s in ss)}
     ctx = {"DJ Better plays", "Better remix out", "DJ the better one", "DJ, better"}

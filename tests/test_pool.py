@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
+from newsflow import catalog
 from newsflow.operators import pool as p
 
 COLS = ("id string, source_id string, origin string, published_at timestamp, fetched_at timestamp, "
@@ -130,3 +131,16 @@ def test_legacy_pool_puts_undated_rows_first(spark):
     df = spark.createDataFrame([row(1, "a"), row(2, "a", published=False), row(3, "a", state="used")], COLS)
     assert [r.id for r in p.pool_legacy(df, 5).orderBy("pool_pos").collect()] == ["00002", "00001"]
     assert p.pool_legacy(df, 5).where(F.col("pool_pos") == 1).first().published_at is None
+
+
+def scans(df):
+    """How often the plan reads the articles."""
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_the_pool_reads_the_articles_twice(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    queries = catalog.all_queries()
+    assert scans(queries["pool_select"](spark, sf_dir)) <= 3
+    assert scans(queries["pool_fair_queues"](spark, sf_dir)) <= 3
+    assert scans(queries["run_suggest_input"](spark, sf_dir)) <= 6
