@@ -95,14 +95,16 @@ def _signature(w: Words) -> np.ndarray:
 
 
 def _collected(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the sample, stored: ``SAMPLE_ROWS`` rows at most."""
+    """(doc_id, text, toxic) of the sample, stored: ``SAMPLE_ROWS`` rows at most, one text an id."""
     known = (
         tables.only(labels, ("doc_id", "doc_id", "long"), ("toxic", "toxic", "int"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     )
-    return tables.stored(docs.join(F.broadcast(known), "doc_id"), "toxic-sample")
+    met = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    one = met.groupBy("doc_id", "toxic").agg(F.min_by("text", tables.text_key(F.col("text"))).alias("text"))
+    return tables.stored(one.select("doc_id", "text", "toxic"), "toxic-sample")
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Bytes have an embedding; filters of widths 2, 3 and 4 slide over a window of ``WINDOW`` bytes, take
 their maximum over the window, and feed a softmax.  The network is trained in numpy on windows of a
-bounded sample (``SAMPLE_ROWS`` labelled texts by a hash of the id, ``SAMPLE_WINDOWS`` each).  A
+bounded sample (``SAMPLE_ROWS`` labelled texts of each language by a hash of the id, ``SAMPLE_WINDOWS`` each).  A
 whole text is all its windows in batches; its prediction is the mean log probability over them, weighted by bytes.
 
 For prediction the filters become tables over pairs of bytes, which gives the same sums.
@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsflow.llm import tables
 from newsflow.llm import textbytes as tb
 
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 1_000  # a language
 SAMPLE_WINDOWS = 4
 WINDOW = 128
 EMBED = 8
@@ -172,9 +173,11 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 7) -> Networ
 
 def _sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows of the sample and their languages."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    # the ids first, so that no text is sorted
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).distinct()
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull()).withColumn(
+        "key", tables.text_key(F.col("text")))
+    # ids first, so that no text is sorted; a text counts once however often its row stands, and no language crowds out another
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key")
+    ids = rows.select("lang", "doc_id", "key").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_ROWS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +193,8 @@ def _sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
                     ("lang", pa.string(), [lang[s.lo + r] for r in row[some]]),
                 ])
 
-    chosen = rows.join(F.broadcast(ids), "doc_id").select("text", "lang")
+    chosen = rows.join(ids.drop("nth"), ["lang", "doc_id", "key"]).groupBy("lang", "doc_id", "key").agg(F.first("text").alias("text"))
+    chosen = chosen.select("text", "lang")
     got = chosen.mapInArrow(work, "window binary, lang string").orderBy("lang", "window").toArrow()
     langs = sorted(set(got["lang"].to_pylist()))
     index = {x: i for i, x in enumerate(langs)}

@@ -152,3 +152,28 @@ def test_pair_tables_equal_the_convolution():
     z = np.maximum(np.concatenate(pooled, 1), 0) @ net.out + net.out_bias
     want = z - np.log(np.exp(z).sum(1, keepdims=True))
     assert np.allclose(op8_language.Predictor(net).log_probs(x), want, atol=1e-4)
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = np.random.default_rng(4)
+    english = "the of and to in that it was for on are with as his they at be this from have or by one had not but what all were when we there".split()
+    czech = "který není přes většina když žádný člověk může říci příliš žluťoučký kůň úpěl ďábelské ódy během několika měsíců"
+    rows = [(i, " ".join(rng.choice(english, 60)), "en") for i in range(2400)]
+    learned = [i for i in range(5000, 5040) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows += [(i, czech, "cs") for i in learned[:1]] + [(learned[1], czech + " a ještě", None)]
+    rows += [(9_000_000, rows[0][1], "en")] * 50  # a row that stands often counts once
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in op8_language.identify(docs).collect()}
+    assert got[learned[0]] == got[learned[1]] == "cs" and sum(got[i] == "en" for i in range(2400)) == 2400
+    assert op8_language.identify(docs.limit(0)).count() == 0
+
+
+def test_the_toxicity_sample_holds_one_text_an_id(spark):
+    rows = [(i % 10, f"text {i}", 1) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] * 3, "doc_id long, toxic int")
+    kept = [i for i in range(10) if zlib.crc32(str(i).encode()) % 4 != 2]
+    sample = op4_toxicity._collected(spark, docs, labels).collect()
+    assert sorted(r.doc_id for r in sample) == kept
+    assert len(op4_toxicity.toxicity(docs, labels).collect()) == 500
+    assert op4_toxicity.toxicity(docs.limit(0), labels).count() == 0
