@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from newsflow.catalog.base import Query, sql
 from newsflow.catalog.text_sql import q
+from newsflow.functions.lineage import scratch_path
 from newsflow.functions.text import strip
 from newsflow.operators import serving as v
 from newsflow.sources import driver_tables as dt
-from newsflow.sources import event_log, feeds
+from newsflow.sources import dictionary, event_log, feeds
 
 SITE = "https://site.example.com"
 
@@ -73,12 +74,52 @@ def _tier_counts(s, d):
     return v.tier_counts(v.add_sources(src, new))
 
 
+_LOGS: dict[tuple[str, str], str] = {}
+
+
+def _log(s, d):
+    """The events as the log gives them back; written once a session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _LOGS:
+        path = scratch_path(s, "event-log")
+        event_log.write_event_log(dt.event_log(s, d).select(
+            "ts", "run_id", "pipeline", "stage", "reason", "source", "item_url", F.lit(None).cast("string").alias("title"), "detail"), path)
+        _LOGS[key] = path
+    return event_log.read_event_log(s, _LOGS[key])
+
+
+def _log_days(s, d):
+    """Three days of the log; the folders of other days are not read."""
+    days = _log(s, d).where("date BETWEEN DATE '2024-01-03' AND DATE '2024-01-05'")
+    return days.groupBy("pipeline", "date", "stage").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def _surfaces(s, d):
+    """Surfaces loaded from an entity table and its policy, with aliases, supporting roles and context rules."""
+    known = dt.dictionary(s, d).select("canonical", "role", "weight").distinct()
+    n = F.length("canonical")
+    entities = known.select(
+        n.alias("position"), F.col("canonical").alias("en"), F.array(F.concat(F.col("canonical"), F.lit(" Live")), F.lit("x")).alias("aliases_en"), "weight")
+    rule = F.struct(F.array(F.lit("DJ")).alias("before"), F.array(F.lit("remix")).alias("after"), F.lit(5).cast("long").alias("max_gap_chars"))
+    own = F.struct(
+        F.col("role"), F.when(n % 7 == 0, F.create_map("canonical", rule)).otherwise(F.from_json(F.lit("{}"), "map<string," + dictionary.RULE + ">")).alias("contextual_surfaces"))
+    ruled = known.where((F.col("role") == "supporting") | (n % 7 == 0)).select("canonical", own.alias("c"))
+    policy = ruled.agg(F.map_from_entries(F.collect_list(F.struct("canonical", "c"))).alias("entities")).select(
+        F.lit(dictionary.POLICY_VERSION).alias("version"), "entities")
+    out = dictionary.load_surfaces(entities, policy)
+    return out.select(
+        "canonical", "role", "weight", "surface", "surface_pos", "match_type", F.array_join("before", ",").alias("before"),
+        F.array_join("after", ",").alias("after"), "max_gap")
+
+
 QUERIES: dict[str, Query] = {
     "source_store_raw": lambda s, d: event_log.store_raw(
         dt.raw_articles(s, d).select(F.col("source_name").alias("run_id"), "content"), "content"
     ).select("run_id", "digest", "path"),
     "source_head_per_feed": _head,
-    "source_event_log": lambda s, d: dt.event_log(s, d),
+    "source_event_log": _log,
+    "source_event_days": _log_days,
+    "source_dictionary": _surfaces,
     "export_feed": lambda s, d: feeds.feed_rows(dt.articles(s, d), SITE),
     "export_sitemap": lambda s, d: feeds.sitemap_rows(dt.articles(s, d), SITE, as_of()),
     "export_redirects": lambda s, d: feeds.redirect_rows(dt.articles(s, d)),
@@ -122,7 +163,17 @@ member AS (SELECT cluster_id, arg_min(image_url, ra.id) AS img FROM links JOIN r
 ORACLE: dict[str, str] = {
     "source_store_raw": sql("ra", "SELECT DISTINCT source_name AS run_id, sha256(content) AS digest, 'raw/' || source_name || '/' || sha256(content) || '.txt' AS path FROM ra"),
     "source_head_per_feed": sql("ra", "SELECT source_id, id FROM ra WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY doc_id) <= 10"),
-    "source_event_log": sql("event_log", "SELECT * FROM event_log"),
+    "source_event_log": sql("event_log", """
+SELECT ts, run_id, pipeline, stage, reason, source, item_url, NULL AS title, detail, ts::DATE AS date FROM event_log"""),
+    "source_event_days": sql("event_log", """
+SELECT pipeline, ts::DATE AS date, stage, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM event_log
+WHERE ts::DATE BETWEEN DATE '2024-01-03' AND DATE '2024-01-05' GROUP BY ALL"""),
+    "source_dictionary": sql("ra dict", """
+known AS (SELECT DISTINCT canonical, role, weight FROM dict)
+SELECT canonical, role, weight, canonical || ' live' AS surface, 1 AS surface_pos, 'strong' AS match_type, '' AS before, '' AS after, 12 AS max_gap FROM known
+UNION ALL SELECT canonical, role, weight, canonical, 0, CASE WHEN length(canonical) % 7 = 0 THEN 'contextual' ELSE 'strong' END,
+  CASE WHEN length(canonical) % 7 = 0 THEN 'dj' ELSE '' END, CASE WHEN length(canonical) % 7 = 0 THEN 'remix' ELSE '' END,
+  CASE WHEN length(canonical) % 7 = 0 THEN 5 ELSE 12 END FROM known"""),
     "export_feed": sql("ra articles", f"""
 top AS (SELECT * FROM articles WHERE published ORDER BY published_at DESC NULLS FIRST, id LIMIT 50),
 e AS (SELECT id, title, '{SITE}/articles/' || slug AS link, substr(content, 1, 200) AS description, published_at, coalesce(category, '') AS category FROM top WHERE slug <> '')

@@ -9,6 +9,7 @@ EVENT_SCHEMA = (
     "ts timestamp, run_id string, pipeline string, stage string, reason string, source string, "
     "item_url string, title string, detail string"
 )
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  # the whole stored precision
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
@@ -16,7 +17,7 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 
     The folder may be partitioned by pipeline and date, which then prune the scan.
     """
-    return spark.read.schema(EVENT_SCHEMA).option("recursiveFileLookup", "false").json(path)
+    return spark.read.schema(EVENT_SCHEMA).option("recursiveFileLookup", "false").option("timestampFormat", STAMP).json(path)
 
 
 def write_event_log(events: DataFrame, path: str) -> None:
@@ -25,7 +26,7 @@ def write_event_log(events: DataFrame, path: str) -> None:
     Events of a hot pipeline stay spread over tasks: nothing is shuffled for the layout.
     """
     out = events.withColumn("date", F.to_date("ts"))
-    out.write.mode("append").partitionBy("pipeline", "date").json(path)
+    out.write.mode("append").partitionBy("pipeline", "date").option("timestampFormat", STAMP).json(path)
 
 
 def store_raw(df: DataFrame, text_col: str, suffix: str = "txt") -> DataFrame:
