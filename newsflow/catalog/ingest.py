@@ -247,7 +247,22 @@ PAGE_TEXT = f"trim(regexp_replace(regexp_replace({_plain('v')}, '[ \\t]+', ' ',
 RICH = """
 rich AS (SELECT doc_id AS d, lpad(doc_id::VARCHAR, 12, '0') AS page_id, 'https://' || source || '.example.com' AS root, DATE '2024-01-01' + (doc_id % 45)::INT AS day FROM documents)"""
 
+# the items of the made answers; an answer that is cut short has none
+HARVEST = f"""
+own AS (SELECT {dt.CLUSTER_OF_SQL} AS page_id, doc_id AS d, id, trim(CASE WHEN doc_id % 13 = 12 THEN '' ELSE coalesce(title, '') END, ' ' || chr(9) || chr(13)) AS head,
+  source_name, event_date, url FROM ra),
+page AS (SELECT page_id, min(d) % 17 = 0 AS broken, regexp_extract(min(url), '^https?://[^/]+', 0) AS root FROM own GROUP BY 1),
+item AS (SELECT page_id, root, d, head, source_name, event_date, (row_number() OVER (PARTITION BY page_id ORDER BY id) - 1)::INT AS item_no
+  FROM own JOIN page USING (page_id) WHERE NOT broken)"""
+
 ORACLE: dict[str, str] = {
+    "item_parse": sql("ra", HARVEST + """
+SELECT page_id, item_no, CASE WHEN head = '' THEN 'headline_empty' ELSE 'ok' END AS status, head AS headline_en,
+  CASE WHEN d % 3 = 0 THEN 'club_event' ELSE 'release' END AS news_type, event_date::VARCHAR AS event_date,
+  CASE WHEN d % 3 = 0 THEN 'Hall ' || source_name END AS venue, CASE WHEN d % 2 = 0 THEN root || '/tickets' END AS ticket_url FROM item
+UNION ALL SELECT page_id, NULL, 'no_array', '', 'other', NULL, NULL, NULL FROM page WHERE broken"""),
+    "item_is_event": sql("ra", HARVEST + """
+SELECT page_id, item_no, d % 3 = 0 OR d % 2 = 0 OR event_date IS NOT NULL AS is_event FROM item WHERE head <> ''"""),
     "page_photo": "WITH " + RICH.strip() + """
 SELECT page_id, CASE WHEN d % 4 = 0 THEN root || '/media/' || d || '.jpg' WHEN d % 5 = 0 THEN 'https://ld.example.com/' || d || '.jpg' ELSE root || '/c.jpg' END AS photo_url FROM rich""",
     "page_published": "WITH " + RICH.strip() + """

@@ -221,6 +221,11 @@ pub_keys AS (SELECT DISTINCT lower(trim(topic)) AS key FROM clusters WHERE id IN
 """
 
 ORACLE: dict[str, str] = {
+    "story_parse_proposals": sql("ra", """
+b AS (SELECT lpad((doc_id // 20)::VARCHAR, 12, '0') AS output_id, doc_id // 20 AS n, id, title, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY id) - 1 AS p FROM ra)
+SELECT output_id, CASE WHEN n % 3 = 0 THEN 'braces' ELSE 'whole' END AS parse, p::INT AS proposal_no, title AS topic, id AS article_id, true AS is_singleton
+FROM b WHERE n % 17 <> 16
+UNION ALL SELECT DISTINCT output_id, 'failed', NULL::INT, NULL, NULL, false FROM b WHERE n % 17 = 16"""),
     "story_cap_entity": sql("ra dict", EDGE_SQL + "\nSELECT canonical, id, entity_rank FROM capped", True),
     "story_pair_edges": sql("ra dict", EDGE_SQL + "\nSELECT a, b, score FROM edges", True),
     "story_components": sql("ra dict", EDGE_SQL + "\nSELECT id, component FROM comp", True),
