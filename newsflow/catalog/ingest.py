@@ -95,7 +95,12 @@ def _links(s, d):
 
 
 def _select(s, d):
-    """Link choice on the pages' own links, addressed below a news collection."""
+    """Link choice on the pages' own links."""
+    return x.select_links(_links(s, d), today())
+
+
+def _select_dated(s, d):
+    """Link choice on links with dates, one per document, addressed below a news collection."""
     rich = dt.raw_articles(s, d)
     n = F.col("doc_id")
     links = rich.select(
@@ -198,6 +203,7 @@ QUERIES: dict[str, Query] = {
     "page_adequacy": lambda s, d: x.fetch_adequacy(scan_pages(dt.pages(s, d), x.JS_SIGNALS)),
     "page_links": _links,
     "page_select_links": _select,
+    "page_select_dated_links": _select_dated,
     "page_listing_date": _listing,
     "page_trim": lambda s, d: dt.raw_articles(s, d).select("id", x.trim_text(F.col("content"), [" the ", ". "], 500).alias("text")),
     "page_event_dates": lambda s, d: x.event_date_candidates(_rich(s, d), "text", "page_id"),
