@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsflow.functions.joins import salted_join, top_per_key
+from newsflow.functions.joins import top_per_key
+from newsflow.functions.lineage import cut
 from newsflow.functions.text import BOILERPLATE, any_match, clean_text, or_empty, regex_quote, strip
 from newsflow.functions.urls import host_key, strip_url
 from newsflow.operators.entities import block_key, hay_keys
@@ -213,12 +214,14 @@ def _substitute(df: DataFrame, col: str, rules: DataFrame, bounded: bool) -> Dat
     keyed = rules.distinct().withColumn("block_key", block_key(F.lower("src")))
     keys = df.select("id", F.explode(hay_keys(F.lower(or_empty(F.col(col))))).alias("block_key"))
     if not bounded:
-        # without boundaries a name can sit inside a longer word: key on its first three characters
-        from newsflow.operators.entities import ngram_keys
-
-        keyed = rules.distinct().withColumn("block_key", F.substring("src", 1, 3))
-        keys = df.where(F.length(col) > 0).select("id", F.explode(ngram_keys(F.col(col))).alias("block_key"))
-    per_row = salted_join(keys, keyed, ["block_key"], ["id"]).groupBy("id").agg(
+        # without boundaries a name can sit inside a longer word: key on its first characters
+        from newsflow.operators.entities import gram_postings, gram_size
+
+        keyed = rules.distinct().withColumn("_size", gram_size(F.col("src"))).where("_size IS NOT NULL").withColumn(
+            "block_key", F.substring("src", F.lit(1), F.col("_size")))
+        keys = gram_postings(df, col, keyed, ["id"]).withColumnRenamed("_gram", "block_key")
+    # the keys are selective and a common word has few rules of its own, so the rules aren't repeated by salt
+    per_row = keys.join(keyed, "block_key").groupBy("id").agg(
         F.array_sort(F.collect_set(F.struct((-F.length("src")).alias("n"), "src", "dst"))).alias("_r")
     )
     edge = "[A-Za-z0-9]"
@@ -228,7 +231,7 @@ def _substitute(df: DataFrame, col: str, rules: DataFrame, bounded: bool) -> Dat
         if bounded:
             pattern = F.concat(F.lit(f"(?<!{edge})"), pattern, F.lit(f"(?!{edge})"))
         safe = F.regexp_replace(r["dst"], r"([\\$])", r"\\$1")
-        return F.regexp_replace(acc, pattern, safe)
+        return F.when(F.contains(acc, r["src"]), F.regexp_replace(acc, pattern, safe)).otherwise(acc)
 
     joined = df.join(per_row, "id", "left")
     return joined.withColumn(
@@ -247,7 +250,8 @@ def apply_display_names(df: DataFrame, names: DataFrame, col: str = "title", bou
     rules = names.where("en <> ko").select(F.col("en").alias("src"), F.col("ko").alias("dst"), risky.alias("risky"))
     if not bounded:
         return _substitute(df, col, rules.select("src", "dst"), False)
-    mapped = _substitute(df, col, rules.where("NOT risky").select("src", "dst"), True)
+    # the texts are read twice by the second substitution: the first is done once
+    mapped = cut(_substitute(df, col, rules.where("NOT risky").select("src", "dst"), True))
     fixes = names.select(F.explode("avoid").alias("src"), F.col("ko").alias("dst")).where("src <> '' AND src <> dst")
     return _substitute(mapped, col, fixes, True)
 

@@ -90,3 +90,26 @@ def test_contains_join_equals_brute_force(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = {(r.i, r.pattern) for r in e.contains_join(t, spark.createDataFrame([(p,) for p in pats], "pattern string"), ["i"]).collect()}
     assert got == {(i, p) for i, x in enumerate(texts) for p in pats if p in x}
+
+
+def test_a_common_word_does_not_meet_all_its_surfaces(spark):
+    """Forty texts and forty surfaces share their longest word; only the surfaces whose two words are in a text meet it."""
+    names = [("extraordinary", f"n{i:02d}") for i in range(40)]
+    dictionary = surfaces(spark, [(" ".join(n), [], 1.0) for n in names] + [("Extraordinary one two", [], 1.0)])
+    texts = [(f"t{i:02d}", f"the Extraordinary, {b} and more" if i else "extraordinary one -- two") for i, (_, b) in enumerate(names)]
+    hay = spark.createDataFrame(texts, "id string, text string").select("id", F.lower("text").alias("hay"))
+    assert e._candidates(hay, dictionary).select("id", "surface").distinct().count() <= 41
+    ra = spark.createDataFrame([(i, t.replace(",", ""), "") for i, t in texts], "id string, title string, content string")
+    got = {(r.id, r.canonical) for r in e.entity_index(ra, dictionary).collect()}
+    assert got == {(f"t{i:02d}", " ".join(n)) for i, n in enumerate(names) if i}
+
+
+def test_patterns_with_one_beginning_meet_only_their_texts(spark):
+    pats = ["common beginning " + c * 3 for c in "abcdefghij"] + ["common", "eginning ccc", "co"]
+    texts = [(i, f"a common beginning {c * 3} x") for i, c in enumerate("abcdefghijkl")] + [(None, "uncommon"), (99, "")]
+    t = spark.createDataFrame(texts, "i int, text string")
+    p = spark.createDataFrame([(x,) for x in pats], "pattern string")
+    got = sorted(((r.i, r.pattern) for r in e.contains_join(t, p, ["i"]).collect()), key=repr)
+    assert got == sorted(((i, x) for i, s in texts for x in pats if x in s), key=repr)
+    keyed = p.select("pattern", e.gram_size(F.col("pattern")).alias("_size"))
+    assert {r.pattern: r._size for r in keyed.collect()} == {x: (16 if len(x) > 15 else 11 if len(x) > 10 else 5 if len(x) > 4 else 2) for x in pats}
