@@ -8,9 +8,9 @@ five-word shingles, each labelled with how many equal ones stand before it.
    hashed: an order MinHash.  ``ROWS`` sketches make a band key.
 3. In each bucket of a band the node that meets most others leads, and every other member is compared with the leader.
    A bucket whose members are all similar to it is done: they are in one class.  Otherwise every member that is not
-   is compared with all others, if these pairs are at most ``WIDTH`` a member (always up to 16 members); in a bucket with
-   more, those that are not meet again in smaller buckets, whose key has one sketch more.  So the pairs stay in
-   proportion to the members, and nothing is dropped from a large bucket.
+   is compared with all others.  Where these pairs are more than ``WIDTH`` a member, the bucket is cut into blocks of
+   about ``BLOCK`` words and every two blocks meet in one group, which counts the shingles that two members share: only pairs
+   that share enough to be similar are aligned.  The count is exact, so no pair that is similar is left out.
 4. A pair is verified by banded alignment of the labelled shingles: the longest common chain within
    a band around the diagonal.  Similar: ``aligned / (n1 + n2 - aligned) >= SIMILARITY``, for all shingles or
    for the first of each kind alone (texts that repeat themselves differently).
@@ -30,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +47,7 @@ BANDS = 24
 SKETCHES = ROWS * BANDS
 SEED = 11
 WIDTH = 8
+BLOCK = 1 << 16
 NO_ID = -(1 << 63)
 
 _ODD = tb.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(SEED)) | np.uint64(1)
@@ -209,6 +211,63 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
+def _shared(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray) -> np.ndarray:
+    """How many labelled shingles each row of ``x`` shares with each row of ``y``; a row has each of its own once."""
+    out = np.zeros((len(fx) - 1, len(fy) - 1), np.int64)
+    order = np.argsort(y, kind="stable")
+    ys, col = y[order], tb.row_of(fy)[order]
+    lo, n = np.searchsorted(ys, x), np.searchsorted(ys, x, side="right")
+    n -= lo
+    row = tb.row_of(fx)
+    total = np.cumsum(n)
+    at = 0
+    while at < len(x):  # about four million meetings at once
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 22), side="right")))
+        m = n[at:end]
+        within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        cell = np.repeat(row[at:end], m) * out.shape[1] + col[np.repeat(lo[at:end], m) + within]
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+        at = end
+    return out
+
+
+def _can_be_similar(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """Whether the words of each row of ``a`` and of ``b`` share enough shingles, all or the first of each kind."""
+    (xa, fa, na), (xb, fb, nb) = _of_lists(a), _of_lists(b)
+    ok = np.zeros((len(a), len(b)), bool)
+    for x, fx, y, fy in (
+        (xa, fa, xb, fb),
+        (xa[na], np.concatenate([[0], np.cumsum(na)])[fa], xb[nb], np.concatenate([[0], np.cumsum(nb)])[fb]),
+    ):
+        m = _shared(x, fx, y, fy)
+        ok |= (m > 0) & (m >= SIMILARITY * (np.diff(fx)[:, None] + np.diff(fy)[None, :] - m))
+    return ok
+
+
+def _across_blocks(members: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members (key, node, ok) of a bucket that can be similar; not two that are both ``ok``."""
+
+    def work(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        low, high = (t.filter(pc.equal(t["block"], t[c])) for c in ("low", "high"))
+        na, nb = (v["node"].to_numpy() for v in (low, high))
+        fa, fb = (v["ok"].to_numpy() for v in (low, high))
+        ok = ~(fa[:, None] & fb[None, :])
+        ok &= (na[:, None] < nb[None, :]) | (t["low"][0].as_py() != t["high"][0].as_py())
+        if ok.any():
+            ok &= _can_be_similar(*(v["words"].combine_chunks() for v in (low, high)))
+        p, q = np.nonzero(ok)
+        return pa.table({"a": np.minimum(na[p], nb[q]), "b": np.maximum(na[p], nb[q])})
+
+    sized = members.join(words.select("node", "words"), "node")
+    size = members.join(words.select("node", F.size("words").alias("n")), "node").groupBy("key").agg(
+        F.ceil(F.sum(F.col("n") + 64) / BLOCK).alias("n_blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("n_blocks"))
+    met = sized.join(size, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "ok", "words")
+    return met.groupBy("key", "low", "high").applyInArrow(work, "a long, b long")
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
     """(key, band, node, sk, pop) of all buckets with two nodes at least."""
 
@@ -242,8 +301,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     # rows that repeat id and text stand for one node
     words = tables.stored(_words(texts).groupBy("node").agg(F.first("words").alias("words")), "near-words")
-    sk = nodes.select("node", "sk")
-    found, turn = [], 0
+    found = []
 
     def compare(pairs: DataFrame) -> None:
         """Verifies the pairs (a, b) that are not links yet."""
@@ -252,34 +310,26 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             pairs = pairs.join(reduce(DataFrame.unionByName, found), ["a", "b"], "left_anti")
         found.append(tables.stored(verified(pairs, words), "near-links"))
 
-    while True:
-        lead = left.groupBy("key").agg(F.max(F.struct("pop", (-F.col("node")).alias("o"))).alias("top"), F.count("*").alias("n"))
-        lead = lead.where("n > 1").select("key", (-F.col("top.o")).alias("leader"))
-        a, b = F.least("node", "leader"), F.greatest("node", "leader")
-        met = tables.stored(
-            left.join(lead, "key").where("node <> leader").withColumns({"a": a, "b": b}).drop("leader"), "near-round")
-        compare(met.select("a", "b"))
-        linked = reduce(DataFrame.unionByName, found).withColumn("ok", F.lit(True))
-        known = met.join(linked, ["a", "b"], "left").select("key", "band", "node", "pop", F.coalesce("ok", F.lit(False)).alias("ok"))
-        yes, no = F.sum(F.col("ok").cast("long")), F.sum((~F.col("ok")).cast("long"))
-        sizes = known.groupBy("key").agg(yes.alias("yes"), no.alias("no")).where("no > 0 and yes + no > 1").select(
-            "key", (F.col("no") * (F.col("yes") + (F.col("no") - 1) / 2) <= WIDTH * (F.col("yes") + F.col("no"))).alias("few"))
-        known = tables.stored(known.join(sizes, "key"), "near-rest")
-        few = known.where("few").select("key", "node", "ok")
-        other = few.select("key", F.col("node").alias("other"), F.col("ok").alias("fine"))
-        # each pair with a rejected member once
-        across = few.where("not ok").join(other, "key").where("node <> other and (fine or node < other)")
-        compare(across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
-        # the rejected of larger buckets meet again under a finer key
-        nth = (F.col("band") * ROWS + F.lit(ROWS + turn)) % SKETCHES
-        old, left = left, tables.stored(
-            known.where("not few and not ok").join(sk, "node").select(
-                F.xxhash64("key", F.element_at("sk", nth + 1)).alias("key"), "band", "node", "pop"), "near-members")
-        tables.drop(old, met, known)
-        turn += 1
-        if left.groupBy("key").count().where("count > 1").isEmpty():
-            tables.drop(left, words)
-            return reduce(DataFrame.unionByName, found)
+    lead = left.groupBy("key").agg(F.max(F.struct("pop", (-F.col("node")).alias("o"))).alias("top"))
+    lead = lead.select("key", (-F.col("top.o")).alias("leader"))
+    a, b = F.least("node", "leader"), F.greatest("node", "leader")
+    met = tables.stored(
+        left.join(lead, "key").where("node <> leader").withColumns({"a": a, "b": b}).select("key", "node", "a", "b"), "near-round")
+    compare(met.select("a", "b"))
+    linked = found[0].withColumn("ok", F.lit(True))
+    known = met.join(linked, ["a", "b"], "left").select("key", "node", F.coalesce("ok", F.lit(False)).alias("ok"))
+    yes, no = F.sum(F.col("ok").cast("long")), F.sum((~F.col("ok")).cast("long"))
+    sizes = known.groupBy("key").agg(yes.alias("yes"), no.alias("no")).where("no > 0 and yes + no > 1").select(
+        "key", (F.col("no") * (F.col("yes") + (F.col("no") - 1) / 2) <= WIDTH * (F.col("yes") + F.col("no"))).alias("few"))
+    known = tables.stored(known.join(sizes, "key"), "near-rest")
+    few = known.where("few").select("key", "node", "ok")
+    other = few.select("key", F.col("node").alias("other"), F.col("ok").alias("fine"))
+    # each pair with a rejected member once
+    across = few.where("not ok").join(other, "key").where("node <> other and (fine or node < other)")
+    compare(across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+    compare(_across_blocks(known.where("not few").select("key", "node", "ok"), words))
+    tables.drop(left, met, known, words)
+    return reduce(DataFrame.unionByName, found)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

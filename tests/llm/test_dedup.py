@@ -59,6 +59,25 @@ def test_near_classes_of_versions_around_hubs(spark):
     assert class_ids(op6_neardup.classes(docs).collect()) == brute.near_classes(dict(rows))
 
 
+def test_near_pairs_of_a_large_bucket_are_whole(spark, monkeypatch):
+    """All texts share one bucket, and hundreds are not similar to the leader: no similar pair of different classes is left out."""
+    rng = random.Random(5)
+    base = prose(rng, 120)
+    texts = [edited(rng, base, 1) for _ in range(30)]
+    for i in range(60):  # versions away from the base, each with one near copy
+        version = edited(rng, base, 8)
+        texts += [version, edited(rng, version, 1)]
+    texts += [prose(rng, 40) for _ in range(5)]
+    nodes = list(enumerate(texts))
+    words = op6_neardup._words(spark.createDataFrame(nodes, "node long, text string"))
+    members = spark.createDataFrame([(1, i, i < 30) for i, _ in nodes], "key long, node long, ok boolean")
+    monkeypatch.setattr(op6_neardup, "BLOCK", 4000)  # several blocks
+    got = op6_neardup.verified(op6_neardup._across_blocks(members, words), words).collect()
+    every = spark.createDataFrame([(i, j) for i, _ in nodes for j, _ in nodes if i < j and j >= 30], "a long, b long")
+    want = {(r.a, r.b) for r in op6_neardup.verified(every, words).collect()}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 50
+
+
 def test_near_classes_of_odd_rows(odd):
     got = op6_neardup.classes(odd).collect()
     assert len(got) == odd.count()
