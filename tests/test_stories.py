@@ -1,9 +1,11 @@
 import random
+import time
 
 import plain_merge
 import pytest
 from pyspark.sql import functions as F
 
+from newsflow.functions.lineage import store
 from newsflow.operators import stories as st
 from newsflow.operators.components import components
 
@@ -81,6 +83,31 @@ def test_merging_at_once_equals_merging_one_by_one(spark):
     assert sum(same) >= 0.9 * len(same)
 
 
+def test_a_run_of_many_rounds_is_planned_in_time(spark):
+    """Ten alike groups merge one pair a round; with checkpoints the plan of the sixth round took over half a minute."""
+    rows = [group("r", f"g{i}", i, f"Topic {i}", ["berlin fire"], ["Alpha One"], "alpha one berlin fire") for i in range(10)]
+    df = spark.createDataFrame(rows, GROUP)
+    want = sorted(k for run in plain_merge.prepared(df).values() for k in plain_merge.keys(plain_merge.merge_in_rounds(run)))
+    start = time.monotonic()
+    assert keys(st.merge_groups(df)) == want and len(want) == 1
+    assert time.monotonic() - start < 300
+
+
+def test_a_stored_table_hands_on_no_constraints(spark):
+    df = spark.range(3).where("id > 0").selectExpr("id", "id AS b")
+    stored = store(df)
+    assert df._jdf.queryExecution().analyzed().constraints().size() > 0
+    assert stored._jdf.queryExecution().analyzed().constraints().size() == 0
+    assert sorted(stored.collect()) == sorted(df.collect())
+
+
+def test_pairs_meet_by_key_without_a_broadcast(spark):
+    """How many keys a group has is unknown to the planner, so a small file could fill the driver."""
+    b = st._blocked(spark.createDataFrame(random_groups(1), GROUP))
+    plan = st._meet(b, b)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_no_groups(spark):
     assert st.merge_groups(spark.createDataFrame([], GROUP)).count() == 0
 
