@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.functions.lineage import cut
+from newsflow.functions.lineage import cut, store
 from newsflow.operators import entities as ent
 from newsflow.operators import lifecycle, pool, stories
 
@@ -58,7 +58,8 @@ def suggest_outcome(
         F.lit(0).cast("long").alias("pos"),  # the id alone gives the order: answers, then their proposals
         "topic", "keywords", "article_ids", "reason", "common_entities", "cohesion_score",
     )
-    normalized = stories.normalize_proposals(groups, stories.article_features(articles_in, index))
+    # the ledger reads the checked proposals again
+    normalized = store(stories.normalize_proposals(groups, stories.article_features(articles_in, index)))
     merged = stories.merge_groups(normalized.where("drop_reason IS NULL"))
     ranked = stories.rank_groups(merged, surfaces, as_of)
     filtered = stories.filter_known(ranked, proposals, articles, clusters, rules)
