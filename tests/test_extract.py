@@ -1,9 +1,11 @@
 import datetime
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from newsflow.functions import dates, urls
+from newsflow.functions import dates, unicode, urls
 from newsflow.functions.html import scan_pages
 from newsflow.functions.text import clean_text, decode_entities, says
 from newsflow.functions.unicode import first_json_array, nfkc
@@ -208,3 +210,15 @@ def test_linked_data_stands_outside_comments(spark):
         f"<noscript>{ld.format('TYPE = Application/LD+JSON id=x', '2024-01-04')}</noscript>{ld.format('data-type=a/ld+json', '2024-01-05')}<!-- "
         + ld.format(kind, "2024-01-06"))
     assert [e.start for e in texts_of(spark, [page])[0].ld_events] == ["2024-01-03", "2024-01-04"]
+
+
+def test_a_batch_is_never_held_as_python_strings():
+    """A batch of 40 MB of text takes a few MB of Python objects; pandas held all of it, and every result."""
+    texts = pa.array([f"\uff21{i} " + "Straße " * 2800 if i % 9 else None for i in range(2000)])
+    tracemalloc.start()
+    got = unicode.each(texts, unicode.fold, pa.string())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000 and len(got) == 2000
+    assert got[1].as_py() == ("a1 " + "strasse " * 2800).strip() and got[0].as_py() == ""
+    assert unicode.each(pa.array([], pa.string()), unicode.fold, pa.string()).to_pylist() == []
