@@ -49,6 +49,23 @@ def test_matches_equal_brute_force(spark, limit):
     assert got == want - {(str(TEXTS.index("DJ the better one")), "Better")}  # the gap is five characters
 
 
+def test_postings_hold_only_keys_that_the_dictionary_could_have(spark):
+    """Short words and characters without a word do not travel unless some surface has such a key."""
+    rows = [("1", "grand opening of the new prodigy band at 사이키 !!!"), ("2", "on to it"), ("3", None)]
+    hay = spark.createDataFrame(rows, "id string, hay string")
+
+    def keys(entities):
+        got = e.key_postings(hay, surfaces(spark, entities)).collect()
+        assert len(got) == len(set(got))
+        return {(r.id, r.block_key) for r in got}
+
+    assert keys([("Opening", [], 1.0), ("Prodigy Band", [], 1.0)]) == {("1", "opening"), ("1", "prodigy"), ("1", "grand opening"), ("1", "prodigy band")}
+    assert keys([("Opening", [], 1.0)]) == {("1", "opening"), ("1", "prodigy")}
+    assert {("1", "사이"), ("1", "사"), ("1", "!!"), ("1", "!")} <= keys([("!!!", [], 1.0)])
+    assert not [k for _, k in keys([("!!!", [], 1.0)]) if k.isascii() and k.isalnum()]
+    assert keys([]) == set()
+
+
 def test_roles_partition_and_quota(spark):
     rows = [("1", "The Prodigy", None), ("2", "bandcamp", None), ("3", "bandcamp", ("accepted", "dance_experience", "k")), ("4", "a techno night", None), ("5", "nothing", None)]
     ra = spark.createDataFrame(
