@@ -11,7 +11,7 @@ from newsflow.functions.joins import top_per_key
 from newsflow.functions.lineage import cut
 from newsflow.functions.text import BOILERPLATE, any_match, clean_text, or_empty, regex_quote, strip
 from newsflow.functions.urls import host_key, strip_url
-from newsflow.operators.entities import block_key, hay_keys
+from newsflow.operators.entities import block_key, key_postings
 from newsflow.operators.serving import genre_key
 
 # --- fixed values: slug, category and quality rules ---
@@ -212,8 +212,9 @@ def _substitute(df: DataFrame, col: str, rules: DataFrame, bounded: bool) -> Dat
     Only the rules whose key occurs in the text are applied to a row.
     """
     keyed = rules.distinct().withColumn("block_key", block_key(F.lower("src")))
-    keys = df.select("id", F.explode(hay_keys(F.lower(or_empty(F.col(col))))).alias("block_key"))
-    if not bounded:
+    if bounded:
+        keys = key_postings(df.select("id", F.lower(or_empty(F.col(col))).alias("hay")), keyed)
+    else:
         # without boundaries a name can sit inside a longer word: key on its first characters
         from newsflow.operators.entities import gram_postings, gram_size
 

@@ -145,3 +145,22 @@ def test_ablation_lists_every_new_match_beyond_the_places(spark):
     labels = spark.createDataFrame([("2", "relevant")], "id string, label string")
     got = {(r.canonical, r.id, r.label) for r in audit.entity_ablation(ra, base, add, labels, 1).collect()}
     assert got == {("Nova One", "2", "relevant"), ("Nova One", "3", None)}
+
+
+def test_topic_words_lose_no_match(spark):
+    """Every match of a pattern holds one of the words that are looked for first."""
+    said = ["Electronic Music", "DANCE music", "house music", "Techno", "tranceX", "Dubstep", "drum AND bass", "Drum & Bass", "DnB", "electronic\n producer",
+            "Electronic  Music Producer", "전자 음악", "일렉트로닉뮤직", "하우스 뮤직", "테크노", "트랜스", "덥스텝", "드럼 앤드베이스", "디제이", "電子音楽",
+            "エレクトロニック・ミュージック", "ハウスミュージック", "テクノ", "トランス", "ダブステップ", "ドラム・アンド・ベース",
+            "Synth", "SYNTHESIZER", "chiptune", "DJs", "djing", "ADJ", "İ DJ", "music", "producer", "", None]
+    rows = [(t, c) for t in said for c in ["", "a", "e-bike hip-hop DJ synth"]] + [("e-bike", t) for t in said] + [("Rap", t) for t in said]
+    df = spark.createDataFrame(rows, "title string, content string")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
+    t = F.coalesce("title", F.lit(""))
+    plain = e.any_match(text, e.TOPIC_PATTERNS) | (text.rlike(e.rxi(e.SYNTH_WORD)) & ~t.rlike(e.rxi(e.VEHICLE_TITLE))) | (
+        text.rlike(e.rxi(e.DJ_WORD)) & ~t.rlike(e.rxi(e.HIP_HOP_TITLE)))
+    got = df.select("title", "content", e.has_topic_evidence(F.col("title"), F.col("content")).alias("a"), plain.alias("b")).collect()
+    assert [r for r in got if r.a != r.b] == [] and {r.a for r in got} == {True, False}
+    for pattern, words in [*[(p, e.TOPIC_WORDS) for p in e.TOPIC_PATTERNS], (e.SYNTH_WORD, e.SYNTH_WORDS), (e.DJ_WORD, e.DJ_WORDS)]:
+        found = df.where(text.rlike(e.rxi(pattern)))
+        assert found.count() and found.where(~e._says_one(text, words)).count() == 0
