@@ -155,3 +155,41 @@ def test_normalize_drops_and_keeps(spark):
     ).withColumns({"reason": F.lit(""), "common_entities": F.array().cast("array<string>"), "cohesion_score": F.lit(None).cast("double")})
     got = {r.group_id: r.drop_reason for r in st.normalize_proposals(props, st.article_features(ra, idx)).collect()}
     assert got == {"g1": None, "g2": "article_not_edm_eligible", "g3": "event_date_conflict", "g4": "normalization_failed", "g5": "normalization_failed"}
+
+
+HOT = 31  # articles of one entity, more than twice the newest fifteen
+
+
+def hot_entity(spark):
+    """One entity in all articles, a second one in every fifth; the lowest ids are the oldest."""
+    import datetime
+
+    t0 = datetime.datetime(2026, 1, 1)
+    ra = spark.createDataFrame(
+        [(f"a{i:02d}", f"The Prodigy {'Nova One ' if i % 5 == 0 else ''}w{i % 3}x", "", t0 + datetime.timedelta(days=i / 2),
+          datetime.date(2026, 1, i % 8 + 1) if i % 4 == 0 else None, None) for i in range(HOT)],
+        "id string, title string, content string, published_at timestamp, event_date date, suggestion_state string")
+    rows = [(f"a{i:02d}", c, "qualifying") for i in range(HOT) for c in ("The Prodigy", "Nova One")[: 1 + (i % 5 == 0)]]
+    return ra, spark.createDataFrame(rows, "id string, canonical string, role string")
+
+
+@pytest.mark.parametrize("block", [4, 500])
+def test_every_pair_of_an_entity_is_an_edge_whatever_its_size(spark, block):
+    ra, index = hot_entity(spark)
+    got = sorted(tuple(r) for r in st.pair_edges(st.entity_members(index), index, ra, block).collect())
+    want = []
+    for i in range(HOT):
+        for j in range(i + 1, HOT):
+            if i % 4 == 0 and j % 4 == 0 and i % 8 != j % 8:
+                continue
+            gap = (j - i) / 2
+            # every title has the entity's words
+            score = (3 if i % 5 == 0 and j % 5 == 0 else 1) + (3 if gap <= 3 else 1 if gap <= 7 else 0) + 2
+            want.append((f"a{i:02d}", f"a{j:02d}", score))
+    assert got == want
+
+
+def test_the_sql_of_pair_edges_has_no_cap():
+    from newsflow.catalog import all_oracles
+
+    assert "entity_rank <=" not in all_oracles()["story_pair_edges"]
