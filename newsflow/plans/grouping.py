@@ -15,6 +15,6 @@ def extended_groups(ra: DataFrame, surfaces: DataFrame, top: int = stories.TOP_G
     rows = ra.where(pool.is_eligible())
     # the index and the edges are read several times below: each is computed once
     index = cut(ent.entity_index(rows, surfaces))
-    edges = cut(stories.pair_edges(stories.cap_entity_articles(index, rows), index, rows))
+    edges = cut(stories.pair_edges(stories.entity_members(index), index, rows))
     trimmed = stories.trim_components(components(edges), edges)
     return stories.label_components(trimmed, index, surfaces, top)

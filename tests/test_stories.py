@@ -189,6 +189,20 @@ def test_every_pair_of_an_entity_is_an_edge_whatever_its_size(spark, block):
     assert got == want
 
 
+def test_extended_groups_see_articles_beyond_the_newest_fifteen_of_an_entity(spark):
+    from newsflow.plans.grouping import extended_groups
+    from test_entities import surfaces
+
+    ra, _ = hot_entity(spark)
+    out = extended_groups(ra, surfaces(spark, [("The Prodigy", [], 1.0)])).collect()
+    assert len(out) == 1 and out[0].entity == "The Prodigy"
+    gap = lambda i, j: 3 if abs(i - j) <= 6 else 1 if abs(i - j) <= 14 else 0
+    apart = lambda i, j: i % 4 == 0 and j % 4 == 0 and i % 8 != j % 8
+    degree = {i: sum(3 + gap(i, j) for j in range(HOT) if j != i and not apart(i, j)) for i in range(HOT)}
+    assert list(out[0].article_ids) == sorted(f"a{i:02d}" for i in sorted(degree, key=lambda i: (-degree[i], i))[:5])
+    assert min(out[0].article_ids) < f"a{HOT - 15:02d}"
+
+
 def test_the_sql_of_pair_edges_has_no_cap():
     from newsflow.catalog import all_oracles
 
