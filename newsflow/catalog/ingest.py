@@ -82,16 +82,12 @@ def _listing(s, d):
     return dt.raw_articles(s, d).select("id", dates.listing_date(F.concat(F.lit("Doors open "), text, F.lit(" late")), today()).alias("item_date"))
 
 
-def _scan(s, d):
-    return scan_pages(dt.pages(s, d))
-
-
-def _rich(s, d):
-    return scan_pages(dt.rich_pages(s, d))
+def _rich(s, d, *parts):
+    return scan_pages(dt.rich_pages(s, d), only=parts)
 
 
 def _links(s, d):
-    return x.page_links(_scan(s, d))
+    return x.page_links(scan_pages(dt.pages(s, d), only=["links"]))
 
 
 def _select(s, d):
@@ -194,20 +190,20 @@ QUERIES: dict[str, Query] = {
     "page_titles_rich": lambda s, d: x.page_titles(dt.rich_pages(s, d)),
     "page_text": lambda s, d: x.page_text(dt.pages(s, d)),
     "page_media": lambda s, d: x.page_media(dt.rich_pages(s, d)),
-    "page_photo": lambda s, d: x.page_photo(_rich(s, d)),
-    "page_published": lambda s, d: x.page_published(_rich(s, d)),
+    "page_photo": lambda s, d: x.page_photo(_rich(s, d, "meta", "images", "ld_values")),
+    "page_published": lambda s, d: x.page_published(_rich(s, d, "meta", "times", "ld_values")),
     "page_clean_text": lambda s, d: dt.raw_articles(s, d).select("id", clean_text(or_empty(F.col("content"))).alias("text")),
     "page_denoise": lambda s, d: dt.table(s, d, "documents").select("doc_id", x.denoise_lines(F.col("text")).alias("text")),
     "page_reflow": lambda s, d: x.reflow(dt.table(s, d, "conversations"), "text").select("conv_id", "turn", "title", "body"),
     "page_title_backfill": _backfill,
-    "page_adequacy": lambda s, d: x.fetch_adequacy(scan_pages(dt.pages(s, d), x.JS_SIGNALS)),
+    "page_adequacy": lambda s, d: x.fetch_adequacy(scan_pages(dt.pages(s, d), x.JS_SIGNALS, ["text"])),
     "page_links": _links,
     "page_select_links": _select,
     "page_select_dated_links": _select_dated,
     "page_listing_date": _listing,
     "page_trim": lambda s, d: dt.raw_articles(s, d).select("id", x.trim_text(F.col("content"), [" the ", ". "], 500).alias("text")),
-    "page_event_dates": lambda s, d: x.event_date_candidates(_rich(s, d), "text", "page_id"),
-    "page_date_evidence": lambda s, d: x.page_date_evidence(_rich(s, d)).select(
+    "page_event_dates": lambda s, d: x.event_date_candidates(_rich(s, d, "text"), "text", "page_id"),
+    "page_date_evidence": lambda s, d: x.page_date_evidence(_rich(s, d, "text", "ld_events")).select(
         "page_id", F.array_join(F.col("json_ld_dates").cast("array<string>"), ",").alias("ld"),
         F.array_join(F.col("body_dates").cast("array<string>"), ",").alias("body"), "url_date", "url_supported"),
     "item_parse": lambda s, d: _items(s, d).select("page_id", "item_no", "status", "headline_en", "news_type", "event_date", F.col("facts.venue").alias("venue"), F.col("facts.ticket_url").alias("ticket_url")),

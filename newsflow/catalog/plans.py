@@ -46,7 +46,7 @@ def _crawl(s, d):
     pages = dt.harvest_pages(s, d).withColumn("crawl_mode", F.lit("page"))
     html = pages.select("page_id", F.col("page_url").alias("url"), F.concat(F.lit("<p>"), F.regexp_replace("markdown", "[<>&]", " "), F.lit("</p>")).alias("html"))
     out = crawl.harvest(
-        dt.harvest_outputs(s, d), pages, scan_pages(html), dt.dictionary(s, d), dt.raw_articles(s, d).select("url"),
+        dt.harvest_outputs(s, d), pages, scan_pages(html, only=["meta", "images", "ld_values", "ld_events"]), dt.dictionary(s, d), dt.raw_articles(s, d).select("url"),
         F.lit("2024-01-20").cast("date"), ["src0", "src4"])
     return out.select("id", "decision", "path", "candidate_key", "article_url", "image_url", "date_reason", "is_new")
 

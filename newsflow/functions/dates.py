@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsflow.functions.text import or_empty, rx, rxu, squash, strip
+from newsflow.functions.text import once, or_empty, rx, rxu, squash, strip
 from newsflow.functions.unicode import nfkc
 
 # --- fixed values: month names, zone words, listing date patterns in their order ---
@@ -77,11 +77,13 @@ def safe_date(y: Column, m: Column, d: Column) -> Column:
 
 
 def _offset(zone: Column) -> Column:
-    z = F.upper(zone)
-    out = F.regexp_replace(z, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
-    for name, off in ZONES.items():
-        out = F.when(z == name, off).otherwise(out)
-    return F.when(z == "", "+00:00").otherwise(out)
+    def offset(z: Column) -> Column:
+        out = F.regexp_replace(z, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
+        for name, off in ZONES.items():
+            out = F.when(z == name, off).otherwise(out)
+        return F.when(z == "", "+00:00").otherwise(out)
+
+    return once(F.upper(zone), offset)
 
 
 def _iso_time(t: Column) -> Column:
@@ -100,13 +102,12 @@ def _iso_day(t: Column) -> Column:
 
 
 def _of_this_age(at: Column) -> Column:
-    return F.when(F.year(at).between(2000, 2100), at)
+    return once(at, lambda x: F.when(F.year(x).between(2000, 2100), x))
 
 
 def parse_iso(col: Column) -> Column:
     """Time of ISO text, or the day of text that starts with one; no zone is UTC, years 2000 to 2100 only."""
-    t = strip(or_empty(col))
-    return _of_this_age(F.coalesce(_iso_time(t), _iso_day(t)))
+    return once(strip(or_empty(col)), lambda t: _of_this_age(F.coalesce(_iso_time(t), _iso_day(t))))
 
 
 def parse_published(col: Column) -> Column:
@@ -136,21 +137,23 @@ def nearest_date(m: Column, d: Column, today: Column) -> Column:
 
 def listing_date(col: Column, today: Column) -> Column:
     """Date in a listing text: the first pattern that gives a real day."""
+    def found(text: Column, pattern: str, names: tuple[str, ...]) -> Column:
+        at = {n: i for i, n in enumerate(names, start=1)}
+
+        def read(val: Column) -> Column:
+            dated = safe_date(val["y"], val["m"], val["d"])
+            inferred = nearest_date(val["m"], val["d"], today)
+            return F.when(val["said"], dated).otherwise(inferred) if names[0] != "y" else F.when(val["said"], dated)
+
+        part = lambda n: F.regexp_extract(text, rx(pattern), at[n])
+        month = once(part("n"), month_number) if "n" in at else part("m").try_cast("int")
+        year = part("y") if "y" in at else F.lit("")
+        fields = F.struct(
+            (year != "").alias("said"), year.try_cast("int").alias("y"), month.alias("m"), part("d").try_cast("int").alias("d"))
+        return F.when(part("d") != "", once(fields, read))
+
     text = F.regexp_replace(or_empty(col), rx(r"\s+"), " ")
-    found = []
-    for pattern, names in LISTING_PATTERNS:
-        p = rx(pattern)
-        val = {n: F.regexp_extract(text, p, i) for i, n in enumerate(names, start=1)}
-        month = month_number(val["n"]) if "n" in val else val["m"].try_cast("int")
-        day = val["d"].try_cast("int")
-        inferred = nearest_date(month, day, today)
-        if "y" in val:
-            dated = safe_date(val["y"].try_cast("int"), month, day)
-            one = F.when(val["y"] != "", dated).otherwise(inferred if names[0] != "y" else None)
-        else:
-            one = inferred
-        found.append(F.when(val["d"] != "", one))
-    return F.coalesce(*found)
+    return once(text, lambda t: F.coalesce(*[found(t, pattern, names) for pattern, names in LISTING_PATTERNS]))
 
 
 def has_month_day(text: Column, day: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsflow.functions.text import or_empty
+from newsflow.functions.text import once, or_empty
 
 # --- fixed values: query keys that only track a visit ---
 TRACKING_KEYS = [
@@ -34,7 +34,7 @@ def canonical_url(col: Column, denylist: list[str] | None = None) -> Column:
     """The URL without tracking keys; every other part stays."""
     deny = TRACKING_KEYS if denylist is None else denylist
     pairs = F.filter(F.split(url_part(col, 4), "&"), lambda p: p != "")
-    kept = F.filter(pairs, lambda p: ~_denied(F.coalesce(F.try_url_decode(F.element_at(F.split(p, "=", 2), 1)), p), deny))
+    kept = F.filter(pairs, lambda p: once(F.coalesce(F.try_url_decode(F.element_at(F.split(p, "=", 2), 1)), p), lambda k: ~_denied(k, deny)))
     # a pair without a value is written with an empty one, and each side in form encoding
     again = F.transform(
         kept,
@@ -46,11 +46,11 @@ def canonical_url(col: Column, denylist: list[str] | None = None) -> Column:
     query = F.array_join(again, "&")
     scheme, host, frag = url_part(col, 1), url_part(col, 2), url_part(col, 5)
     return F.concat(
-        F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(""),
-        F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
+        once(scheme, lambda x: F.when(x != "", F.concat(F.lower(x), F.lit(":"))).otherwise("")),
+        once(host, lambda x: F.when(x != "", F.concat(F.lit("//"), x)).otherwise("")),
         url_part(col, 3),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(""),
+        once(query, lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise("")),
+        once(frag, lambda x: F.when(x != "", F.concat(F.lit("#"), x)).otherwise("")),
     )
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsflow.functions.dates import explicit_dates, has_month_day, listing_date, parse_iso, url_date
 from newsflow.functions.html import scan_pages
-from newsflow.functions.joins import first_per_key, top_per_key, top_rows
+from newsflow.functions.joins import top_rows
+from newsflow.functions.lineage import settled
 from newsflow.functions.text import (
-    BOILERPLATE, SP, any_match, clean_text, decode_entities, html_to_text, or_empty, rx, rxi, says, squash, strip,
+    BOILERPLATE, SP, any_match, clean_text, decode_entities, html_to_text, once, or_empty, rx, rxi, says, squash, strip,
 )
 from newsflow.functions.unicode import nfkc
 from newsflow.functions.urls import canonical_url, host_key, url_part
@@ -298,18 +300,20 @@ def select_links(links: DataFrame, today: Column, n: int = 4, exclude: list[tupl
     rules = ITEM_EXCLUDE if exclude is None else exclude
     rows = links.where(F.col("absolute").isNotNull() & (strip(or_empty(F.col("href"))) != "")).select(
         "page_id", "page_url", "pos", "href", "text", "title", "context", "structured_date",
-        F.regexp_replace(canonical_url(F.regexp_replace("absolute", "(?s)#.*$", "")), "(?s)#.*$", "").alias("url"),
+        F.regexp_replace("absolute", "(?s)#.*$", "").alias("_whole"),
     )
+    # every step is computed once a link; the links are read once, and each keeps one row until it has its reason
+    rows = settled(rows, "url", once(F.col("_whole"), lambda u: F.regexp_replace(canonical_url(u), "(?s)#.*$", "")))
     rows = rows.where(F.col("url").rlike("^https?://") & (host_key(F.col("url")) == host_key(F.col("page_url"))))
     reason = F.lit(None).cast("string")
     for name, pattern in reversed(rules):
         reason = F.when(F.col("url").rlike("(?i)" + pattern), name).otherwise(reason)
-    rows = rows.withColumn("_excluded", reason)
-    excluded = rows.where("_excluded IS NOT NULL").select(
-        "page_id", "url", F.lit(None).cast("date").alias("item_date"), F.lit("excluded").alias("class"), F.col("_excluded").alias("reason")
+    parts = F.struct(
+        reason.alias("excluded"), url_part(F.col("url"), 3).alias("path"), url_part(F.col("page_url"), 3).alias("base_path"),
+        _segments(url_part(F.col("url"), 3)).alias("segs"), _segments(url_part(F.col("page_url"), 3)).alias("base_segs"),
     )
-    path, base_path = url_part(F.col("url"), 3), url_part(F.col("page_url"), 3)
-    segs, base_segs = _segments(path), _segments(base_path)
+    rows = settled(rows, "_p", parts)
+    path, base_path, segs, base_segs = (F.col(f"_p.{c}") for c in ("path", "base_path", "segs", "base_segs"))
     prefix = F.lit("")
     for m in reversed(PREFIX_MARKERS):
         at = F.array_position(base_segs, F.lit(m)).cast("int")
@@ -328,27 +332,33 @@ def select_links(links: DataFrame, today: Column, n: int = 4, exclude: list[tupl
         F.when(F.concat(path, F.lit("/")).rlike("(?i)" + ITEM_PATH) | worldwide, 5).otherwise(0)
         + F.when(F.length(label) >= 12, 2).otherwise(0) + F.when(F.size(segs) >= 2, 1).otherwise(0)
     )
-    firsts = first_per_key(rows.where("_excluded IS NULL").where(keep).withColumn("score", score), ["page_id", "url"], [F.col("pos").asc()])
+    excluded = F.col("_p.excluded")
+    news = F.arrays_overlap(base_segs, F.array(*[F.lit(s) for s in NEWS_SEGMENTS]))
     date_text = F.concat_ws(" ", *[or_empty(F.col(c)) for c in ("structured_date", "href", "context", "text", "title")])
-    cand = firsts.where("score >= 2").withColumn("item_date", listing_date(date_text, today))
-    news = F.arrays_overlap(_segments(url_part(F.col("page_url"), 3)), F.array(*[F.lit(s) for s in NEWS_SEGMENTS]))
-    cls = F.when(F.col("item_date").isNull(), "unknown").when(F.col("item_date") >= today, "future").otherwise("past")
-    cand = cand.withColumn("class", cls).withColumn("_news", news)
+    rows = settled(rows, "_k", F.struct((excluded.isNull() & keep).alias("keep"), score.alias("score"))).where(excluded.isNotNull() | F.col("_k.keep")).select(
+        "page_id", "url", "pos", excluded.alias("_excluded"), F.col("_k.score").alias("score"), news.alias("_news"), date_text.alias("_text"))
+    # all links of a page meet in one place, where both windows work
+    rows = rows.repartition("page_id").withColumn("_nth", F.row_number().over(Window.partitionBy("page_id", "url").orderBy(F.col("pos").asc())))
+    cand = rows.where("_excluded IS NOT NULL OR (_nth = 1 AND score >= 2)")
+    cand = settled(cand, "item_date", F.when(F.col("_excluded").isNull(), listing_date(F.col("_text"), today)))
+    cls = (
+        F.when(F.col("_excluded").isNotNull(), "excluded").when(F.col("item_date").isNull(), "unknown")
+        .when(F.col("item_date") >= today, "future").otherwise("past")
+    )
+    cand = cand.withColumn("class", cls)
     days = F.datediff(F.col("item_date"), F.lit("1970-01-01").cast("date"))
     lane = F.when(F.col("class") == "future", 0).when(F.col("class") == "unknown", 1).otherwise(2)
     within = F.when(F.col("class") == "future", days).when(F.col("class") == "unknown", -F.col("score")).otherwise(-days)
-    open_ = cand.where("class <> 'past' OR _news").withColumn("_lane", lane).withColumn("_in", within)
-    top = top_per_key(
-        open_.select("page_id", "url", "_lane", "_in", "pos"), ["page_id"],
-        [F.col("_lane").asc(), F.col("_in").asc(), F.col("pos").asc()], n, "rank",
-    ).select("page_id", "url", "rank")
-    out = cand.join(top, ["page_id", "url"], "left").select(
+    open_ = F.col("_excluded").isNull() & ((F.col("class") != "past") | F.col("_news"))
+    order = Window.partitionBy("page_id").orderBy(F.col("_open").desc(), F.col("_lane").asc(), F.col("_in").asc(), F.col("pos").asc())
+    ranked = cand.select("page_id", "url", "item_date", "class", "pos", "_excluded", open_.alias("_open"), lane.alias("_lane"), within.alias("_in")).withColumn(
+        "_rank", F.row_number().over(order))
+    rank = F.when(F.col("_open") & (F.col("_rank") <= n), F.col("_rank"))
+    return ranked.select(
         "page_id", "url", "item_date", "class",
-        F.when(F.col("rank").isNotNull(), "selected").when((F.col("class") == "past") & ~F.col("_news"), "past_excluded")
-        .otherwise("cap_exceeded").alias("reason"),
-        "rank",
+        F.coalesce("_excluded", F.when(rank.isNotNull(), "selected").when(~F.col("_open"), "past_excluded").otherwise("cap_exceeded")).alias("reason"),
+        rank.alias("rank"),
     )
-    return out.unionByName(excluded.withColumn("rank", F.lit(None).cast("int")))
 
 
 # --- lines and paragraphs -------------------------------------------------------------

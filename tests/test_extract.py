@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsflow.functions import dates, unicode, urls
-from newsflow.functions.html import scan_pages
+from newsflow.functions.html import PARTS, scan_pages
 from newsflow.functions.text import clean_text, decode_entities, says
 from newsflow.functions.unicode import first_json_array, nfkc
 from newsflow.operators import extract as x
@@ -222,3 +222,45 @@ def test_a_batch_is_never_held_as_python_strings():
     assert peak < 10_000_000 and len(got) == 2000
     assert got[1].as_py() == ("a1 " + "strasse " * 2800).strip() and got[0].as_py() == ""
     assert unicode.each(pa.array([], pa.string()), unicode.fold, pa.string()).to_pylist() == []
+
+
+def plan_nodes(df):
+    """(name, expressions) of every node of the optimized plan."""
+    def walk(node):
+        yield node.nodeName(), node.expressions().mkString(" ")
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+
+    return list(walk(df._jdf.queryExecution().optimizedPlan()))
+
+
+def test_a_page_is_scanned_once_and_outside_lambdas(spark):
+    """Every pass over a page is the output of a generator, which the optimizer can't write out again at each use, as it did per meta key."""
+    df = spark.createDataFrame([("1", "https://x.com/news/", "<p>")], COLS)
+    chosen = x.select_links(x.page_links(scan_pages(df, only=["links"])), F.lit("2026-01-10").cast("date"))
+    for out, pattern in ((chosen, r"</a\s*>"), (chosen, "年")):
+        holds = [name for name, text in plan_nodes(out) if pattern in text]
+        assert holds and set(holds) == {"Generate"}, (pattern, holds)
+    assert sum("</a" in text for _, text in plan_nodes(chosen)) == 1  # not once for the links, their ranks and the excluded ones
+
+
+def test_every_considered_link_keeps_one_reason(spark):
+    rows = [("p", "https://x.com/news/", i, u, f"https://x.com/news/{u}", "t", "A headline long enough", "", d) for i, (u, d) in enumerate([
+        ("page/2", None), ("page/2", None), ("a-story", "2026-01-12"), ("b-story", None), ("a-story", "2026-01-11"), ("c-story", "2025-12-30"), ("d-story", "2026-01-11"), ("about", None)])]
+    rows += [("q", "https://x.com/list/", 0, "e", "https://x.com/event/old-story", "t", "A headline long enough", "", "2025-12-30")]
+    links = spark.createDataFrame(rows, "page_id string, page_url string, pos int, href string, absolute string, text string, title string, context string, structured_date string")
+    got = sorted((r.page_id, r.url.rsplit("/", 1)[1], r["class"], r.reason, r.rank or 0) for r in x.select_links(links, F.lit("2026-01-10").cast("date"), 3).collect())
+    assert got == sorted([
+        ("p", "2", "excluded", "pagination_excluded", 0), ("p", "2", "excluded", "pagination_excluded", 0), ("p", "d-story", "future", "selected", 1),
+        ("p", "a-story", "future", "selected", 2), ("p", "b-story", "unknown", "selected", 3), ("p", "c-story", "past", "cap_exceeded", 0),
+        ("q", "old-story", "past", "past_excluded", 0)])
+
+
+def test_parts_of_a_scan_are_those_of_the_whole(spark):
+    html = '<meta name="a" content="&eacute;&amp;eacute;<img src=x>"><time datetime="2026-01-01">t</time><img src="/i.png" alt="<time datetime=z>"><p>b &nbsp;c</p><a href="/n">d</a><!-- x'
+    df = spark.createDataFrame([("1", "https://x.com/", html), ("2", None, None)], COLS)
+    whole = scan_pages(df)
+    for part in PARTS:
+        assert sorted(map(str, whole.select("page_id", part).collect())) == sorted(map(str, scan_pages(df, only=[part]).select("page_id", part).collect()))
+    one = whole.where("page_id = '1'").head()
+    assert [(m.key, m.content) for m in one.meta] == [("a", "é&eacute;<img src=x>")] and [t.stamp for t in one.times] == ["2026-01-01"]
