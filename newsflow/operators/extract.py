@@ -261,7 +261,9 @@ def page_published(scanned: DataFrame) -> DataFrame:
     ld = F.transform(
         F.filter("ld_values", lambda v: v["key"].isin(PUBLISHED_LD)), lambda v, i: F.struct(F.lit(1).alias("tier"), i.alias("pos"), v["value"].alias("value"))
     )
-    firsts = F.transform(F.array(*[F.lit(k) for k in PUBLISHED_META]), lambda k: F.get(F.filter("meta", lambda m: m["key"] == k), F.lit(0)))
+    keys = F.array(*[F.lit(k) for k in PUBLISHED_META])
+    firsts = once(F.filter("meta", lambda m: m["key"].isin(PUBLISHED_META)), lambda known: F.transform(
+        keys, lambda k: F.get(F.filter(known, lambda m: m["key"] == k), F.lit(0))))
     meta = F.transform(
         F.filter(firsts, lambda m: m.isNotNull()), lambda m, i: F.struct(F.lit(2).alias("tier"), i.alias("pos"), m["content"].alias("value")))
     times = F.transform(

@@ -237,8 +237,9 @@ def plan_nodes(df):
 def test_a_page_is_scanned_once_and_outside_lambdas(spark):
     """Every pass over a page is the output of a generator, which the optimizer can't write out again at each use, as it did per meta key."""
     df = spark.createDataFrame([("1", "https://x.com/news/", "<p>")], COLS)
+    published = x.page_published(scan_pages(df, only=["meta", "times", "ld_values"]))
     chosen = x.select_links(x.page_links(scan_pages(df, only=["links"])), F.lit("2026-01-10").cast("date"))
-    for out, pattern in ((chosen, r"</a\s*>"), (chosen, "年")):
+    for out, pattern in ((published, "(?:meta|link|img"), (chosen, r"</a\s*>"), (chosen, "年")):
         holds = [name for name, text in plan_nodes(out) if pattern in text]
         assert holds and set(holds) == {"Generate"}, (pattern, holds)
     assert sum("</a" in text for _, text in plan_nodes(chosen)) == 1  # not once for the links, their ranks and the excluded ones
