@@ -8,6 +8,7 @@ from newsflow.catalog.base import Query, sql
 from newsflow.catalog.text_sql import clean_text as clean_sql
 from newsflow.functions import dates, urls
 from newsflow.functions.html import scan_pages
+from newsflow.functions.lineage import cut
 from newsflow.functions.text import clean_text, or_empty
 from newsflow.operators import entities as ent
 from newsflow.operators import extract as x
@@ -126,7 +127,8 @@ def _evidence(s, d):
 
 
 def _gate_input(s, d):
-    b = g.ground_evidence(_bound(s, d)).join(dt.harvest_pages(s, d).select("page_id", "page_url"), "page_id")
+    # read twice below
+    b = cut(g.ground_evidence(_bound(s, d)).join(dt.harvest_pages(s, d).select("page_id", "page_url"), "page_id"))
     hay = b.select(F.concat_ws(":", "page_id", "item_no").alias("id"), F.col("headline_en").alias("title"), F.col("source_text").alias("content"))
     matches = ent.entity_index(hay, dt.dictionary(s, d))
     gate = g.entity_gate(matches, ["id"])

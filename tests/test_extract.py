@@ -265,3 +265,23 @@ def test_parts_of_a_scan_are_those_of_the_whole(spark):
         assert sorted(map(str, whole.select("page_id", part).collect())) == sorted(map(str, scan_pages(df, only=[part]).select("page_id", part).collect()))
     one = whole.where("page_id = '1'").head()
     assert [(m.key, m.content) for m in one.meta] == [("a", "é&eacute;<img src=x>")] and [t.stamp for t in one.times] == ["2026-01-01"]
+
+
+ITEMS = "page_id string, item_no int, headline_en string, entities_en array<string>, experience_evidence map<string,array<string>>"
+
+
+def test_the_text_of_a_page_meets_its_items_once(spark):
+    """Text and items are each read once and nothing is stored on the way, where each copy of the text took the input's size."""
+    items = spark.createDataFrame([("p", 0, "x", [], {})], ITEMS)
+    out = g.bind_items(items, spark.createDataFrame([("p", "# One\na")], "page_id string, markdown string"))
+    names = [name for name, _ in plan_nodes(out)]
+    assert names.count("Join") == 1 and sum(n in ("LogicalRDD", "LocalRelation") for n in names) == 2
+
+
+def test_items_beyond_the_blocks_get_their_share_and_repeated_text_is_widened(spark):
+    items = spark.createDataFrame([("p", n, "zzz", ["e"], {"k": [None, ""]}) for n in (2, 0, 1)] + [("q", 0, "a", [], None), ("none", 0, "a", [], {}), ("p", None, "a", [], {})], ITEMS)
+    pages = spark.createDataFrame([("p", "# A\nbb"), ("q", None), ("r", "x")], "page_id string, markdown string")
+    got = {(r.page_id, r.item_no): (r.source_text, r.binding_reason, r.entities_en) for r in g.bind_items(items, pages).collect()}
+    # the item without a number comes first and takes the only block; four items share six characters, one each; blanks are one text
+    reason = "lexical_binding_ambiguous"
+    assert got == {("p", 0): (" ", reason, ["e"]), ("p", 1): ("A", reason, ["e"]), ("p", 2): ("\n\n\n", "duplicate_source_segment", ["e"]), ("q", 0): ("", reason, [])}
