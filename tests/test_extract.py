@@ -285,3 +285,17 @@ def test_items_beyond_the_blocks_get_their_share_and_repeated_text_is_widened(sp
     # the item without a number comes first and takes the only block; four items share six characters, one each; blanks are one text
     reason = "lexical_binding_ambiguous"
     assert got == {("p", 0): (" ", reason, ["e"]), ("p", 1): ("A", reason, ["e"]), ("p", 2): ("\n\n\n", "duplicate_source_segment", ["e"]), ("q", 0): ("", reason, [])}
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from newsflow.functions.lineage import ARROW_ROWS, arrow_rows
+
+    @F.arrow_udf("long")
+    def rows(a: pa.Array) -> pa.Array:
+        return pa.array([len(a)] * len(a), pa.int64())
+
+    before = spark.conf.get(ARROW_ROWS)
+    df = spark.range(0, 1000, 1, 1).select(rows("id").alias("n"))
+    with arrow_rows(spark, 16):
+        assert df.agg(F.max("n")).head()[0] <= 16
+    assert spark.conf.get(ARROW_ROWS) == before and spark.range(0, 1000, 1, 1).select(rows("id").alias("n")).agg(F.max("n")).head()[0] == 1000
